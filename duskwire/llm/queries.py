@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from duskwire.llm import ann, bpe, lm, sharding, simhash, warc
+from duskwire.llm import ann, bpe, decontam, lm, pii, sharding, simhash, warc
 from duskwire.llm.common import fresh_path
 
 
@@ -30,6 +30,10 @@ def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_texts(table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
@@ -38,13 +42,19 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.byte_shards(table(spark, sf_dir, "documents"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_bpe": op2_bpe,
     "op3_simhash": op3_simhash,
     "op4_lm": op4_lm,
+    "op5_decontamination": op5_decontamination,
     "op7_ann": op7_ann,
     "op9_sharding": op9_sharding,
+    "op10_pii": op10_pii,
 }
 
 #: DuckDB SQL for those that SQL can express.
