@@ -92,6 +92,10 @@ def _valid(kind: str, v: Column) -> Column:
     return F.lit(True)
 
 
+def _valid_site(kind: str):
+    return lambda s: _valid(kind, s["value"])
+
+
 def base_spans(text: Column) -> dict[str, Column]:
     """For each kind, its valid matches in ``text``: failing ones are dropped, without another try inside them."""
     out = {}
@@ -99,7 +103,7 @@ def base_spans(text: Column) -> dict[str, Column]:
         there = F.rlike(text, F.lit("[0-9]")) if kind != "email" else F.lit(True)
         if NEEDS[kind]:
             there = F.contains(text, F.lit(NEEDS[kind])) & there
-        out[kind] = F.when(there, F.filter(sites(text, PATTERNS[kind]), lambda s, k=kind: _valid(k, s["value"]))).otherwise(F.array().cast(SITE))
+        out[kind] = F.when(there, F.filter(sites(text, PATTERNS[kind]), _valid_site(kind))).otherwise(F.array().cast(SITE))
     return out
 
 
@@ -171,6 +175,10 @@ def discovered(first: DataFrame, confident: float = CONFIDENT, support: int = SU
     return best.join(b, over, "left_anti")
 
 
+def _keyed(k: int):
+    return lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("k"), s["end"].alias("end"))
+
+
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Spans of personal data in every whole text, row for row.
 
@@ -183,7 +191,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     arrays of (start, k, end), k the kind's number, in code points, end exclusive.
     """
     first = staged(_first_pass(docs, id_col, text_col), "first_pass")
-    base = F.array_sort(F.concat(*[F.transform(kind, lambda s, k=k: F.struct(s["start"].alias("start"), F.lit(k).alias("k"), s["end"].alias("end"))) for k, kind in enumerate(KINDS)]))
+    base = F.array_sort(F.concat(*[F.transform(kind, _keyed(k)) for k, kind in enumerate(KINDS)]))
     rows = first.select("doc_id", "copy", base.alias("base"))
     added = discovered(first, **options).groupBy("doc_id", "copy").agg(F.collect_set(F.struct("start", "k", "end")).alias("added"))
     a = added.select(F.col("doc_id").alias("ad"), F.col("copy").alias("ac"), "added")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from duskwire.llm import ann, bpe, decontam, lm, pii, sharding, simhash, warc
+from duskwire.llm import ann, bpe, decontam, lm, pii, quality, sharding, simhash, toxicity, warc
 from duskwire.llm.common import fresh_path
 
 
@@ -34,10 +34,19 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "text_score", "meta_score", "quality_score", "keep")
+
+
 def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.byte_shards(table(spark, sf_dir, "documents"))
 
@@ -52,7 +61,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_lm": op4_lm,
     "op5_decontamination": op5_decontamination,
+    "op6_quality": op6_quality,
     "op7_ann": op7_ann,
+    "op8_toxicity": op8_toxicity,
     "op9_sharding": op9_sharding,
     "op10_pii": op10_pii,
 }
