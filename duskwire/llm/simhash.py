@@ -63,7 +63,7 @@ def _majority(h: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """``doc_id, fp``: the fingerprint of every row's whole text, as a signed long.
+    """``doc_id, fp, copy``: the fingerprint of every row's whole text, as a signed long, and a hash of the text.
 
     Rows are kept one for one, repeated ids and null ids included. A null text
     counts as empty; a text without words has fingerprint zero.
@@ -72,11 +72,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches):
         for b in batches:
             fp = np.fromiter((fingerprint(t, width) for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), b.column(2)], names=["doc_id", "fp", "copy"])
 
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("copy"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"doc_id {kind}, fp long")
+    return narrow.mapInArrow(run, f"doc_id {kind}, fp long, copy long")
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
@@ -201,6 +201,14 @@ def fingerprint_links(distinct_fp: DataFrame, bits: int = 3) -> DataFrame:
     return dealt.mapInArrow(_scan_postings(bits), "a long, b long")
 
 
+def _rooted(docs: DataFrame, id_col: str, text_col: str, width: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of all rows, and ``fp, first_id, root`` of the distinct ones."""
+    fps = staged(fingerprints(docs, id_col, text_col, width), "fingerprints")
+    groups = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    comp = connected_components(fingerprint_links(groups.select("fp"), bits))
+    return fps, groups.join(comp, groups.fp == comp.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("root"))
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, bits: int = 3) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for every row of ``docs``.
 
@@ -212,10 +220,38 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     fingerprint's smallest id, null if it has none; repeated rows come back
     repeated; an empty table gives no rows. Other columns of ``docs`` are ignored.
     """
-    fps = staged(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    groups = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    comp = connected_components(fingerprint_links(groups.select("fp"), bits))
-    members = groups.join(comp, groups.fp == comp.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("root"))
+    fps, members = _rooted(docs, id_col, text_col, width, bits)
     best = members.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = members.join(best, "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: Rows up to which the dropped ones are broadcast to the texts; beyond, the join is a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, bits: int = 3) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id, null ids last, then of the smallest text hash.
+
+    Exact repeats of that row go too. All columns stay as they are.
+    """
+    fps, members = _rooted(docs, id_col, text_col, width, bits)
+    rows = fps.join(members.select("fp", "root"), "fp").select("root", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "copy").alias("key"))
+    counted = staged(rows.groupBy("root", "key").agg(F.count("*").alias("n")), "keys")
+    first = counted.groupBy("root").agg(F.min("key").alias("first"))
+    both = counted.join(first, "root")
+    gone = both.where(F.col("key") != F.col("first")).select("key.doc_id", "key.copy")
+    again = both.where((F.col("key") == F.col("first")) & (F.col("n") > 1)).select("key.doc_id", "key.copy")
+
+    def small(df):
+        return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+    def same(d):
+        return docs[id_col].eqNullSafe(d.doc_id) & F.xxhash64(docs[text_col]).eqNullSafe(d.copy)
+
+    left = docs.join(small(gone), same(gone), "left_anti")
+    if again.limit(1).count():
+        again = staged(again, "repeats")
+        twice = docs.join(small(again), same(again), "left_semi").groupBy(id_col, F.xxhash64(text_col).alias("_copy")).agg(*[F.first(c).alias(c) for c in docs.columns if c != id_col]).select(*docs.columns)
+        left = left.join(small(again), F.col(id_col).eqNullSafe(again.doc_id) & F.xxhash64(text_col).eqNullSafe(again.copy), "left_anti").select(*docs.columns).unionByName(twice)
+    return left.select(*docs.columns)
