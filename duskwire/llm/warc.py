@@ -283,6 +283,8 @@ class WarcReader(DataSourceReader):
                 yield row
 
     def read(self, partition):
+        if partition is None:  # what Spark passes where there is no partition
+            return
         schema = pa.schema([(c, pa.string()) for c in HEADERS] + [("payload_length", pa.int64()), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())])
         rows, held = [], 0
 
