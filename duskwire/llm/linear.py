@@ -70,8 +70,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, i
     """Up to ``rows`` labelled documents: those whose ids have the smallest hashes.
 
     The ids are chosen first, from the labels alone, so no text moves to find them.
-    A label is the rounded mean of an id's non-null labels.
+    A label is the rounded mean of an id's non-null labels; columns of ``docs`` called
+    ``label`` or ``label_id`` give way.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(id_col).alias("label_id")).agg(F.round(F.avg(label)).cast("int").alias("label"))
     some = known.join(docs.select(F.col(id_col).alias("label_id")).distinct(), "label_id", "left_semi").orderBy(F.xxhash64("label_id"), "label_id").limit(rows)
-    return docs.join(F.broadcast(some), docs[id_col] == some.label_id).drop("label_id")
+    kept = docs.drop("label", "label_id")
+    return kept.join(F.broadcast(some), kept[id_col] == some.label_id).drop("label_id")

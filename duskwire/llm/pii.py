@@ -222,7 +222,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
     both = docs.join(f, docs[id_col].eqNullSafe(f.fd) & F.xxhash64(docs[text_col]).eqNullSafe(f.fc), "left")
     text = docs[text_col]
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    last = F.element_at("cuts", -1)["end"]
-    pieces = F.transform("cuts", lambda c, i: _let(F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("cuts"), i - 1)["end"]), lambda p: F.concat(F.substring(text, p + 1, c["start"] - p), F.element_at(names, c["k"] + 1))))
+    cuts = f["cuts"]
+    last = F.element_at(cuts, -1)["end"]
+    pieces = F.transform(cuts, lambda c, i: _let(F.when(i == 0, F.lit(0)).otherwise(F.get(cuts, i - 1)["end"]), lambda p: F.concat(F.substring(text, p + 1, c["start"] - p), F.element_at(names, c["k"] + 1))))
     new = F.concat(F.array_join(pieces, ""), F.substring(text, last + 1, F.length(text)))
-    return both.select(*[(F.when(F.col("cuts").isNull(), text).otherwise(new).alias(c) if c == text_col else docs[c]) for c in docs.columns])
+    return both.select(*[(F.when(cuts.isNull(), text).otherwise(new).alias(c) if c == text_col else docs[c]) for c in docs.columns])

@@ -246,12 +246,14 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def small(df):
         return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
-    def same(d):
-        return docs[id_col].eqNullSafe(d.doc_id) & F.xxhash64(docs[text_col]).eqNullSafe(d.copy)
+    def same(rows, d):
+        return rows[id_col].eqNullSafe(d._id) & F.xxhash64(rows[text_col]).eqNullSafe(d._copy)
 
-    left = docs.join(small(gone), same(gone), "left_anti")
+    gone, again = (d.toDF("_id", "_copy") for d in (gone, again))
+    left = docs.join(small(gone), same(docs, gone), "left_anti")
     if again.limit(1).count():
         again = staged(again, "repeats")
-        twice = docs.join(small(again), same(again), "left_semi").groupBy(id_col, F.xxhash64(text_col).alias("_copy")).agg(*[F.first(c).alias(c) for c in docs.columns if c != id_col]).select(*docs.columns)
-        left = left.join(small(again), F.col(id_col).eqNullSafe(again.doc_id) & F.xxhash64(text_col).eqNullSafe(again.copy), "left_anti").select(*docs.columns).unionByName(twice)
+        rows = docs.join(small(again), same(docs, again), "left_semi")
+        once = rows.groupBy(id_col, F.xxhash64(text_col).alias("_copy")).agg(*[F.first(c).alias(c) for c in docs.columns if c != id_col])
+        left = left.join(small(again), same(left, again), "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
     return left.select(*docs.columns)
