@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from duskwire.llm.linear import fit_logistic, labelled_sample, logit, predict
 
 #: Labelled rows that the chain is fitted on, at most, words that it looks at, and folds.
-FIT_ROWS, VOCABULARY, FOLDS = 8_000, 128, 5
+FIT_ROWS, VOCABULARY, FOLDS = 8_000, 512, 5
 #: Weak labels of the categories: a document labelled toxic that has a word of the category.
 #: The last category is the label itself.
 CATEGORIES = {
