@@ -68,5 +68,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
 }
 
-#: DuckDB SQL for those that SQL can express.
-ORACLES: dict[str, str] = {}
+#: DuckDB SQL for those that SQL can express. The others hash with XXH64 or CRC-32, fit models, walk merges
+#: or count digits in matches; ``tests/llm`` holds them against brute force.
+ORACLES: dict[str, str] = {
+    "op1_warc": """
+WITH p AS (SELECT page_id, url, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS sha FROM pages),
+f AS (SELECT sha, min(page_id) AS first_id FROM p GROUP BY sha)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(sha, 1 + 5 * (i // 4)::INT, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31), 1)), '') AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to, url AS target_uri
+FROM p JOIN f USING (sha)""",
+    "op5_decontamination": r"""
+WITH iw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+ik AS (SELECT item_id, w, least(5, len(w)) AS k FROM iw WHERE len(w) > 0),
+ish AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM ik)),
+sizes AS (SELECT item_id, count(*) AS n FROM ish GROUP BY item_id),
+dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+dk AS (SELECT doc_id, w, k FROM dw, (SELECT DISTINCT k FROM ik) WHERE len(w) >= k),
+dsh AS (SELECT DISTINCT doc_id, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM dk))
+SELECT doc_id, item_id, n AS n_shingles, count(*) AS n_found, count(*) / n AS containment
+FROM dsh JOIN ish USING (k, s) JOIN sizes USING (item_id) GROUP BY doc_id, item_id, n HAVING count(*) >= 0.8 * n - 1e-9""",
+}
