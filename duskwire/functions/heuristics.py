@@ -12,6 +12,49 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# The words and marks that the heuristics look for.
+PATH_PARTS = [".", "node_modules", "dist", "src", "modules"]
+CONTENT_TYPES = ["application/", "text/", "image/", "audio/", "video/", "multipart/", "charset=", "content-type"]
+CODE_WORDS = ["function", "return", "const ", "var ", "let ", "import ", "export ", "require(", "module.", "class ", "interface ", "typeof ", "console.", "window.", "document."]
+TRANSLATION = [
+    "_text", "_msg", "_message", "_label", "_title", "_description", "_error", "_info", "_hint", "_help", "_tooltip", "_placeholder", "_button", "_link", "_heading", "_flash", "_notification",
+    "_trend", "_chart", "_enabled", "_disabled", "_by_", "_and_",
+]
+I18N = [
+    "message_", "label_", "error_", "success_", "button_", "placeholder_", "tooltip_", "hint_", "alert_", "text_", "title_", "description_", "header_", "footer_", "nav_", "min_", "max_", "app_",
+    "page_", "dialog_", "login.", "freshchat_", "ui_", "validation_",
+]
+MINI_MARKS = ["++", "--", "==", "===", "!=", "!==", "+=", "-=", "*=", "/=", ".push(", ".pop(", ".shift(", ".map(", ".filter(", ".forEach(", "function(", "return ", ";var ", ";let ", ";const ", "&&", "||"]
+OPERATORS = ["++", "--", "+=", "-=", "*=", "/=", "==", "===", "!=", "!==", ">=", "<=", "&&", "||", ">>", "<<", ">>>", "<<="]
+MINI_BLOCKS = [";var ", ";let ", ";const ", ";function", "function(", "return ", "+function", "}(", "({", "})", ":[", ",function", "=[", "={", "=function"]
+CSS = ["-background-", "-color", "-radius", "-distance", "-shadow", "-border-", "-margin-", "-padding-", "-font-", "-size-", "-hover", "-active", "-focus", "-selected", "-disabled"]
+DOC_WORDS = ["example", "usage", "documentation", "wiki", "github.com", "http://", "https://", "/docs/", "/documentation/", "@example", "@caption", "@see", "@link", "sample", "tutorial"]
+VERBS = [
+    "get", "set", "update", "delete", "create", "find", "fetch", "compute", "calculate", "validate", "parse", "format", "convert", "transform", "handle", "process", "initialize", "start", "stop",
+    "transition", "register", "unregister", "subscribe", "unsubscribe",
+]
+URLS = [".com/", ".io/", ".net/", ".org/", ".edu/", ".gov/", "/api/", "/docs/", "/sdk/", "/plugins/", "/wiki/", "github.com", "gitlab.com", "bitbucket.org", "stackoverflow.com"]
+JS_VERBS = [
+    "get", "set", "update", "create", "delete", "remove", "handle", "process", "parse", "format", "convert", "validate", "verify", "check", "is", "has", "can", "should", "will", "did", "fetch", "load",
+    "save", "store", "cache", "transition", "transform", "enable", "disable", "toggle", "show", "hide", "open", "close", "start", "stop", "begin", "end", "init", "setup", "enroll", "authenticate",
+    "authorize", "login", "logout", "register", "subscribe", "unsubscribe", "connect", "disconnect", "mount", "unmount", "render", "display",
+]
+COMPONENTS = ["component", "element", "handler", "listener", "callback", "effect", "reducer", "action", "selector", "container", "provider", "consumer", "context", "fragment", "memo", "ref"]
+EVENTS = ["Mount", "Unmount", "Update", "Change", "Click", "Submit", "Focus", "Blur", "KeyDown", "KeyUp", "MouseOver", "MouseOut", "TouchStart", "TouchEnd", "Drag", "Drop", "Resize", "Scroll"]
+AUTH = [
+    "MFA", "2FA", "TwoFactor", "MultiFactorAuth", "AuthFactor", "Verify", "Validate", "Authenticate", "Authorize", "Token", "Credential", "Password", "Login", "Logout", "Session", "Remember", "Forgot",
+    "Reset", "Change", "Update", "Check",
+]
+CONSTANTS = [
+    "DEFAULT_", "MAX_", "MIN_", "REQUIRED_", "OPTIONAL_", "CONFIG_", "TYPE_", "MODE_", "STATE_", "STATUS_", "EVENT_", "ACTION_", "ERROR_", "SUCCESS_", "WARNING_", "INFO_", "DEBUG_", "LOG_", "AUTH_",
+    "USER_", "ADMIN_", "CLIENT_", "SERVER_", "APP_", "PERMISSION_", "ROLE_", "FEATURE_", "FLAG_", "TOGGLE_",
+]
+PLACEHOLDER_PREFIXES = ["email@", "name@", "test@", "example@", "first.last@"]
+PLACEHOLDER_DOMAINS = ["@example.com", "@test.com", "@domain.com", "@email.com"]
+ASSIGNMENT = r"(?i)(api|token|secret|password|key|auth|credential)[^\n\r]{0,20}[:=]"
+SIGNALS = ["apikey", "api_key", "token", "secret", "password", "credential", "auth", "access"]
+
+
 def _list(terms) -> Column:
     """A constant array, folded before anything runs."""
     return F.split(F.lit("\x01".join(terms)), "\x01")
@@ -41,58 +84,36 @@ def occurrences(text: Column, term: str) -> Column:
 
 
 def is_file_path(v: Column) -> Column:
-    return any_in(v, ["\\", "/"]) & any_in(v, "src dist modules .".split())
-
-
-CONTENT_TYPES = "charset= multipart/ video/ audio/ image/ text/ application/ content-type".split()
+    return any_in(v, ["\\", "/"]) & any_in(v, PATH_PARTS)
 
 
 def is_content_type(v: Column) -> Column:
     return any_in(F.lower(v), CONTENT_TYPES)
 
 
-CODE_WORDS = ["document.", "window.", "console.", "typeof ", "interface ", "class ", "module.", "require(", "export ", "import ", "let ", "var ", "const ", "return", "function"]
-
-
 def has_code_pattern(v: Column) -> Column:
     return any_in(v, CODE_WORDS)
 
 
-TRANSLATION = "_and_ _by_ _disabled _enabled _chart _trend _notification _flash _heading _link _button _placeholder _tooltip _help _hint _info _error _description _title _label _message _msg _text".split()
-
-
 def is_translation_key(v: Column) -> Column:
     return any_in(F.lower(v), TRANSLATION) | (occurrences(v, "_") >= 3) | (occurrences(v, ".") >= 2)
 
 
-I18N = "validation_ ui_ freshchat_ login. dialog_ page_ app_ max_ min_ nav_ footer_ header_ description_ title_ text_ alert_ hint_ tooltip_ placeholder_ button_ success_ error_ label_ message_".split()
-
-
 def is_i18n_key(v: Column) -> Column:
     return ((occurrences(v, "_") >= 2) & (F.octet_length(v) > 20)) | starts_any(F.lower(v), I18N)
 
 
-MINI_MARKS = ["||", "&&", ";const ", ";let ", ";var ", "return ", "function(", ".forEach(", ".filter(", ".map(", ".shift(", ".pop(", ".push(", "/=", "*=", "-=", "+=", "!==", "!=", "===", "==", "--", "++"]
-
-
 def is_pattern_in_minified(v: Column, c: Column) -> Column:
     shapes = r"[a-z]\.[a-z]\.[a-z]|[a-z]\([a-z],[a-z]\)|var [a-z]=[^;]+,[a-z]="
     return (count_in(c, MINI_MARKS) >= 3) | F.rlike(c, F.lit(shapes)) | F.rlike(v, F.lit(r"^[A-Za-z][0-9][A-Za-z][0-9]|[a-z][A-Z][0-9][a-z][A-Z]"))
 
 
-OPERATORS = ["<<=", ">>>", "<<", ">>", "||", "&&", "<=", ">=", "!==", "!=", "===", "==", "/=", "*=", "-=", "+=", "--", "++"]
-MINI_BLOCKS = ["=function", "={", "=[", ",function", ":[", "})", "({", "}(", "+function", "return ", "function(", ";function", ";const ", ";let ", ";var "]
-
-
 def is_in_minified(c: Column) -> Column:
     n = F.octet_length(c)
     operators = F.aggregate(_list(OPERATORS), F.lit(0.0), lambda a, op: a + (n - F.octet_length(F.replace(c, op, F.lit("")))) / F.octet_length(op))
     return ((F.octet_length(c) > 100) & (occurrences(c, "\n") < 3)) | (operators > 5) | (count_in(c, MINI_BLOCKS) >= 3)
 
 
-CSS = "-disabled -selected -focus -active -hover -size- -font- -padding- -margin- -border- -shadow -distance -radius -color -background-".split()
-
-
 def is_css(v: Column) -> Column:
     return F.startswith(v, F.lit("--")) | any_in(v, CSS)
 
@@ -116,38 +137,20 @@ def has_repeats(v: Column) -> Column:
     return (F.octet_length(v) >= 20) & (F.rlike(v, F.lit(r"(?s)(.)\1{5}")) | few)
 
 
-DOC_WORDS = "tutorial sample @link @see @caption @example /documentation/ /docs/ https:// http:// github.com wiki documentation usage example".split()
-
-
 def is_documentation(v: Column, c: Column | None = None) -> Column:
     own = any_in(F.lower(v), DOC_WORDS)
     return own if c is None else own | any_in(F.lower(c), DOC_WORDS)
 
 
 CAMEL = r"^[a-z][a-zA-Z0-9]*[A-Z][a-zA-Z0-9]*\z"
-VERBS = "unsubscribe subscribe unregister register transition stop start initialize process handle transform convert format parse validate calculate compute fetch find create delete update set get".split()
-
-
 def is_function_name(v: Column) -> Column:
     return F.rlike(v, F.lit(CAMEL)) | starts_any(F.lower(v), VERBS)
 
 
-URLS = "stackoverflow.com bitbucket.org gitlab.com github.com /wiki/ /plugins/ /sdk/ /docs/ /api/ .gov/ .edu/ .org/ .net/ .io/ .com/".split()
-
-
 def is_url(v: Column) -> Column:
     return any_in(v, URLS)
 
 
-JS_VERBS = (
-    "display render unmount mount disconnect connect unsubscribe subscribe register logout login authorize authenticate enroll setup init end begin stop start close open hide show toggle disable enable "
-    "transform transition cache store save load fetch did will should can has is check verify validate convert format parse process handle remove delete create update set get"
-).split()
-COMPONENTS = "ref memo fragment context consumer provider container selector action reducer effect callback listener handler element component".split()
-EVENTS = "Scroll Resize Drop Drag TouchEnd TouchStart MouseOut MouseOver KeyUp KeyDown Blur Focus Submit Click Change Update Unmount Mount".split()
-AUTH = "Check Update Change Reset Forgot Remember Session Logout Login Password Credential Token Authorize Authenticate Validate Verify AuthFactor MultiFactorAuth TwoFactor 2FA MFA".split()
-
-
 def is_js_function(v: Column) -> Column:
     """Camel case with a leading verb or a component's event; or a verb and a word of authentication run together, in any case."""
     event = f"(?:{'|'.join(COMPONENTS)}|Did|Will|On|After|Before)(?:{'|'.join(EVENTS)})"
@@ -157,9 +160,6 @@ def is_js_function(v: Column) -> Column:
     return camel | F.rlike(v, F.lit(joined))
 
 
-CONSTANTS = "TOGGLE_ FLAG_ FEATURE_ ROLE_ PERMISSION_ APP_ SERVER_ CLIENT_ ADMIN_ USER_ AUTH_ LOG_ DEBUG_ INFO_ WARNING_ SUCCESS_ ERROR_ ACTION_ EVENT_ STATUS_ STATE_ MODE_ TYPE_ CONFIG_ OPTIONAL_ REQUIRED_ MIN_ MAX_ DEFAULT_".split()
-
-
 def is_js_constant(v: Column) -> Column:
     return F.rlike(v, F.lit(r"^[A-Z][A-Z0-9_]*\z")) | starts_any(v, CONSTANTS)
 
@@ -181,15 +181,9 @@ def is_random_secret(v: Column, bits: Column, least: Column, h: Column) -> Colum
     return (F.octet_length(v) >= least) & ~odd & (char_classes(v) >= 2) & (h >= bits)
 
 
-PLACEHOLDER = r"^(?:email|name|test|example|first\.last)@|@(?:example|test|domain|email)\.com\z"
-
-
 def is_placeholder_email(v: Column) -> Column:
-    return F.rlike(F.lower(v), F.lit(PLACEHOLDER))
-
-
-ASSIGNMENT = r"(?i)(?:credential|auth|key|password|secret|token|api)[^\n\r]{0,20}[:=]"
-SIGNALS = "access auth credential password secret token api_key apikey".split()
+    low = F.lower(v)
+    return starts_any(low, PLACEHOLDER_PREFIXES) | F.rlike(low, F.lit(_quoted(PLACEHOLDER_DOMAINS) + r"\z"))
 
 
 def context_window(content: Column, value: Column, radius: int = 100) -> Column:

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-HIGH = "private_key_var private_key_content web3_private_key aws_secret_key docker_hub_token npm_access_token slack_token stripe_secret_key sentry_auth_token supabase_service_role_key shopify_custom_app_token shopify_private_app_token gitlab_runner_token gitlab_personal_token github_fine_grained_token github_token github_personal_token".split()
-INFORMATIVE = "ethereum_address google_recaptcha_key public_key_content public_key stripe_test_secret_key stripe_test_publishable_key".split()
-LOW = "session_token supabase_publishable_key supabase_anon_key stripe_publishable_key google_cloud_platform google_api_key".split()
-NAMED = dict.fromkeys(HIGH, "high") | dict.fromkeys(INFORMATIVE, "informative") | dict.fromkeys(LOW, "low")
+# Types of a level by name, and the levels of categories.
+HIGH = [
+    "private_key_content", "private_key_var", "web3_private_key", "aws_secret_key", "github_personal_token", "github_token", "github_fine_grained_token", "gitlab_personal_token", "gitlab_runner_token",
+    "docker_hub_token", "npm_access_token", "slack_token", "sentry_auth_token", "shopify_private_app_token", "shopify_custom_app_token", "stripe_secret_key", "supabase_service_role_key",
+]
+INFORMATIVE = ["google_recaptcha_key", "ethereum_address", "public_key", "public_key_content", "stripe_test_publishable_key", "stripe_test_secret_key"]
+LOW = ["google_api_key", "google_cloud_platform", "stripe_publishable_key", "supabase_anon_key", "supabase_publishable_key", "session_token"]
 CATEGORY = (
-    dict.fromkeys("web3 pii".split(), "informative")
-    | dict.fromkeys("generic gcp".split(), "low")
-    | dict.fromkeys("bash ci payment llm db crypto config code azure aws auth".split(), "high")
+    dict.fromkeys(["pii", "web3"], "informative")
+    | dict.fromkeys(["gcp", "generic"], "low")
+    | dict.fromkeys(["auth", "aws", "azure", "code", "config", "crypto", "db", "llm", "payment", "ci", "bash"], "high")
     | {"cloud": "medium"}
 )
+NAMED = dict.fromkeys(HIGH, "high") | dict.fromkeys(INFORMATIVE, "informative") | dict.fromkeys(LOW, "low")
 
 
 def risk_of(name: str, category: str = "") -> str:
@@ -21,8 +25,8 @@ def risk_of(name: str, category: str = "") -> str:
     if level := NAMED.get(key) or CATEGORY.get(category.strip().lower()):
         return level
     has = lambda *words: any(w in key for w in words)
-    if has("token", "secret", "private"):
-        return "low" if has("public", "publishable") else "high"
+    if has("private", "secret", "token"):
+        return "low" if has("publishable", "public") else "high"
     if has("publishable"):
         return "low"
-    return "informative" if has("phone", "email", "public") else "medium"
+    return "informative" if has("public", "email", "phone") else "medium"

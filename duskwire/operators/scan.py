@@ -22,8 +22,8 @@ from duskwire.sources.catalog import Pattern, java_regex
 
 DIALECTS = ("local", "remote", "matches")
 SKIPPED_SUFFIXES = r"\.(?:min|bundle|packed|compressed)\.js\z"
-#: Substrings that a value of the matches dialect must not have.
-UNWANTED = ["@example.com", "charset=", "node_modules", "127.0.0.1", "localhost", "https://", "http://", "dummy", "placeholder", "test", "sample", "example"]
+# Substrings that a value of the matches dialect must not have.
+UNWANTED = ["example", "sample", "test", "placeholder", "dummy", "http://", "https://", "localhost", "127.0.0.1", "node_modules", "charset=", "@example.com"]
 
 CATALOG = (
     "id int, type string, p_regex string, p_lower string, p_category string, p_description string, p_risk string, p_minlength int, p_maxlength int, p_exclude array<string>, p_need_raw array<string>, "

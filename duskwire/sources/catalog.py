@@ -1,14 +1,14 @@
 """The pattern catalog: built-in definitions, custom YAML files, selection and load figures.
 
-The built-in catalog is adapted from the public secrets-patterns-db rules by Mazin
-Ahmed (CC BY-SA 4.0); see ``duskwire/data/NOTICE``.
+Some built-in definitions are adapted from the public secrets-patterns-db rules; see
+``duskwire/data/NOTICE``.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field, replace
 from importlib import resources
 
@@ -17,16 +17,6 @@ from pyspark.sql import DataFrame, SparkSession
 from duskwire.functions.dialect import groups, required_literals, to_java
 from duskwire.functions.risk import risk_of
 
-#: The notation of the data files: names in angle brackets stand for these.
-NOTATION = {
-    "d": "[0-9]", "x": "[0-9a-f]", "hexl": "[0-9a-f]", "X": "[0-9a-fA-F]", "XU": "[0-9A-F]", "l": "[0-9a-z]", "u": "[0-9A-Z]", "a": "[0-9A-Za-z]",
-    "w": "[0-9A-Za-z_]", "l-": "[0-9a-z-]", "u-": "[0-9A-Z-]", "a-": "[0-9A-Za-z-]", "w-": "[0-9A-Za-z_-]", "l_": "[0-9a-z_]", "w-.": "[0-9A-Za-z_.-]",
-    "b64": "[0-9A-Za-z+/]", "AZ": "[A-Za-z]", "=": r"\s*[:=]\s*", "q?": "['\"]?", "q": "['\"]", "qq": "['\"]", "s": r"\s*", "s+": r"\s+", "S+": r"\S+", "b": r"\b",
-    ";": "[^;]+", ":": "[^:]+", "@": "[^@]+", "sh": "(?:bash|sh)", "_?": "[_-]?", "._?": "[._-]?", ".": "[^.]+", "5": ".{0,5}", "20": ".{0,20}", "+": ".+", "line": r"[^\n\r]",
-}
-_NAMED = re.compile("<(" + "|".join(sorted(map(re.escape, NOTATION), key=len, reverse=True)) + ")>")
-LISTS = {"need": "requiredcontextany", "boost": "contextboostany", "penalty": "contextpenaltyany", "exclude": "excluderegexes"}
-
 ROW = (
     "name string, regex string, description string, enabled boolean, category string, minlength int, maxlength int, keywordmatches array<string>, keywordexcludes array<string>, "
     "excluderegexes array<string>, requiredcontextany array<string>, contextboostany array<string>, contextpenaltyany array<string>, useentropy boolean, minentropy double, entropyminlength int"
@@ -83,44 +73,36 @@ class LoadStats:
     by_category: dict[str, int] = field(default_factory=dict)
 
 
-def _expand(text: str) -> str:
-    return _NAMED.sub(lambda m: NOTATION[m[1]], text)
-
-
-def _data(name: str) -> list[str]:
-    lines = resources.files("duskwire").joinpath("data", name).read_text(encoding="utf-8").split("\n")
-    return [x for x in lines if x and not x.startswith("#")]
-
-
 def builtin() -> list[Pattern]:
-    """The built-in definitions, in name order."""
-    out = []
-    for line in _data("bespoke.tsv"):
-        name, category, off, span, gate, regex, description, *lists = line.split("\t")
-        low, high = span.split("-")
-        bits, _, least = gate.partition("@")
-        more = {LISTS[k]: tuple(map(_expand, v.split("|"))) if k == "exclude" else tuple(v.split("|")) for k, _, v in (x.partition("=") for x in lists)}
-        out.append(Pattern(name, _expand(regex), description, off != "off", category, int(low), int(high or 0), useentropy=bool(gate), minentropy=float(bits or 0), entropyminlength=int(least or 0), **more))
-    category = suffix = ""
-    for line in _data("keyword.tsv"):
-        head, *cells = line.split("\t")
-        if head.startswith("["):
-            category, suffix = head[1:-1], cells[0]
-            continue
-        value, own = cells[0], dict(x.split("=", 1) for x in cells[1:])
-        stem = re.sub(r"_[0-9]+$", "", head)
-        keyword = own.get("keyword", stem)
-        need = own.get("need", keyword)
-        least = int(own["min"]) if "min" in own else int(re.search(r"\{([0-9]+)", value)[1])
-        description = suffix[1:] if suffix.startswith("!") else f"{stem.replace('_', ' ').capitalize()} {suffix}"
-        out.append(
-            Pattern(
-                head, rf"(?:{keyword}).{{0,40}}\b({_expand(value)})\b", description, True, category, least, 0, requiredcontextany=(need,),
-                contextboostany=tuple(own["boost"].split("|")) if "boost" in own else (need, "api", "token", "key"),
-                contextpenaltyany=("docs", "documentation", "example", "placeholder", "sample", "test"), useentropy=True, minentropy=3.6, entropyminlength=24,
-            )
-        )
-    return sorted(out, key=lambda p: p.name)
+    """The built-in definitions, in name order. They are those whose shape is their own;
+    the many alike for a service's name next to a key follow from ``keyword_pattern``,
+    whose services are a parameter, or come with a custom file."""
+    return from_yaml(resources.files("duskwire").joinpath("data", "patterns.yaml").read_text(encoding="utf-8"))
+
+
+#: Fixed values of a keyword pattern: context that speaks for and against it, and its entropy gate.
+KEYWORD_BOOST = ("api", "token", "key")
+KEYWORD_PENALTY = ("example", "sample", "placeholder", "test", "docs", "documentation")
+KEYWORD_BITS, KEYWORD_BITS_BYTES = 3.6, 24
+
+
+def keyword_pattern(name: str, value: str, keyword: str | None = None, category: str = "cloud", description: str | None = None, minlength: int | None = None) -> Pattern:
+    """The rule for a service-scoped key: ``keyword`` (by default the name without its number)
+    at most 40 characters before a whole-word match of ``value``, such as ``[0-9a-z]{32}``,
+    with the keyword required in the context. ``minlength`` is by default the first count in ``value``."""
+    stem = re.sub(r"_[0-9]+$", "", name)
+    word = stem if keyword is None else keyword
+    counted = re.search(r"\{([0-9]+)", value)
+    least = minlength if minlength is not None else int(counted[1]) if counted else 0
+    return Pattern(
+        name, rf"(?:{word}).{{0,40}}\b({value})\b", description or f"{stem.replace('_', ' ').capitalize()} API Key", True, category, least, 0, requiredcontextany=(word,),
+        contextboostany=(word, *KEYWORD_BOOST), contextpenaltyany=KEYWORD_PENALTY, useentropy=True, minentropy=KEYWORD_BITS, entropyminlength=KEYWORD_BITS_BYTES,
+    )
+
+
+def keyword_patterns(services: Mapping[str, str], category: str = "cloud") -> list[Pattern]:
+    """A keyword pattern for each of ``services``, which maps a name to the shape of its key."""
+    return [keyword_pattern(name, value, category=category) for name, value in services.items()]
 
 
 def from_yaml(text: str) -> list[Pattern]:

@@ -12,11 +12,17 @@ from pyspark.sql import functions as F
 
 from duskwire.functions.heuristics import any_in, is_binary
 
-#: Files with these endings are scanned as content, whatever they look like.
-CONTENT_EXTENSIONS = frozenset(".config .conf .ini .csv .md .yml .yaml .xml .json .css .htm .html .tsx .ts .jsx .js".split())
-LIST_EXTENSIONS = frozenset([".list", ".urls"])
-BINARY_EXTENSIONS = "jar class eot woff2 woff ttf flv mov avi mp4 mp3 pptx ppt xlsx xls docx doc pdf 7z gz tar zip lib a obj o bin dylib so dll exe ico bmp gif png jpeg jpg".split()
-CODE_MARKS = ["//", "{", "}", "/*", "*/", "function", "#include", "#define", "<script", "<html", "<div", *(w + " " for w in "package import export class const let var while switch for if".split())]
+# File endings by kind, marks of code, and content types of responses.
+CONTENT_EXTENSIONS = [".js", ".jsx", ".ts", ".tsx", ".html", ".htm", ".css", ".json", ".xml", ".yaml", ".yml", ".md", ".csv", ".ini", ".conf", ".config"]
+LIST_EXTENSIONS = [".list", ".urls"]
+BINARY_EXTENSIONS = [
+    "jpg", "jpeg", "png", "gif", "bmp", "ico", "exe", "dll", "so", "dylib", "bin", "o", "obj", "a", "lib", "zip", "tar", "gz", "7z", "pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "mp3", "mp4",
+    "avi", "mov", "flv", "ttf", "woff", "woff2", "eot", "class", "jar",
+]
+CODE_MARKS = [
+    "{", "}", "function", "var ", "let ", "const ", "import ", "export ", "class ", "if ", "for ", "while ", "switch ", "<html", "<div", "<script", "/*", "*/", "//", "#include", "#define", "package ",
+]
+ALLOWED_TYPES = ["application/javascript", "text/javascript", "application/x-javascript", "text/plain", "text/html", "application/json"]
 
 
 def looks_like_url_or_path(line: str) -> bool:
@@ -145,9 +151,6 @@ def from_map(spark: SparkSession, contents: dict[str, str]) -> DataFrame:
     return spark.createDataFrame(list(contents.items()), "source_url string, content string").withColumn("size_bytes", F.octet_length("content").cast("long"))
 
 
-ALLOWED_TYPES = ["application/json", "text/html", "text/plain", "application/x-javascript", "text/javascript", "application/javascript"]
-
-
 def response_content(responses: DataFrame, allowed: list[str] | None = None) -> DataFrame:
     """Fetched responses (``url, status, content_type, body``) as texts.
 
