@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from datetime import timedelta
 
@@ -13,6 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from duskwire.operators.domains import BLOCK_SECONDS, DISCARD_AT, RATE_LIMITED
 from duskwire.operators.scan import scan
 from duskwire.sources.catalog import Pattern
+from duskwire.sources.shared import shared_dir
 
 
 def read_stream(spark: SparkSession, path: str, per_trigger: int = 100) -> DataFrame:
@@ -62,3 +64,15 @@ def backoff_step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState)
 def backoff_stream(fetches: DataFrame) -> DataFrame:
     """Block and discard actions for a stream of ``domain, ts, status``; two numbers of state a domain."""
     return fetches.groupBy("domain").applyInPandasWithState(backoff_step, EVENTS, STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def run_to_table(stream: DataFrame) -> DataFrame:
+    """Run an append stream over what its source holds now, and read back what it wrote.
+
+    Output and progress go to the shared folder, so the run survives lost executors.
+    """
+    spark = stream.sparkSession
+    base = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+    run = stream.writeStream.format("parquet").outputMode("append").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/rows")
