@@ -7,6 +7,8 @@ nothing here runs Python on rows.
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -65,8 +67,8 @@ def _quoted(terms) -> str:
 
 
 def any_in(text: Column, terms) -> Column:
-    """Whether the text holds any of the terms."""
-    return F.rlike(text, F.lit(_quoted(terms)))
+    """Whether the text holds any of the terms. Searches for plain strings are much cheaper than an alternation tried at each place."""
+    return reduce(or_, [F.contains(text, F.lit(t)) for t in terms])
 
 
 def count_in(text: Column, terms) -> Column:

@@ -9,6 +9,8 @@ from duskwire.functions import heuristics as H
 
 BASE, LOCAL_BONUS = 0.55, 0.05
 THRESHOLD, LOCAL_THRESHOLD = 0.50, 0.45
+#: Terms of the score, in the order in which they are added.
+TERMS = ["s_entropy", "s_assignment", "s_signal", "s_matches", "s_boost", "s_excludes", "s_penalty", "s_documentation", "s_key", "s_function", "s_constant", "s_minified", "s_special", "s_local"]
 #: Guards in the order in which they are tried; the first that fails is the candidate's ``guard``.
 GUARDS = ["too_short", "too_long", "excluded", "uuid", "path_or_content_type", "code_pattern", "placeholder_email", "required_context", "entropy"]
 
@@ -29,6 +31,18 @@ def _boost(name: Column, v: Column) -> Column:
     )
 
 
+def _once(rows: DataFrame, of: Column, body) -> DataFrame:
+    """``rows`` with the fields of the struct that ``body`` makes of ``of``.
+
+    The struct is worked out once for each row, behind a generator: a filter on its
+    fields stays above it, where plain projections would be copied into the filter
+    and, each field being used by others, many times over. It also keeps the many
+    tests out of one generated method, which would be too long to be compiled.
+    """
+    made = rows.withColumn("_made", F.explode(F.transform(F.array(of), body)))
+    return made.select(*rows.columns, "_made.*")
+
+
 def evaluate(candidates: DataFrame, local: bool) -> DataFrame:
     """Add ``guard, confidence, valid`` (and the terms of the score) to candidates.
 
@@ -38,42 +52,49 @@ def evaluate(candidates: DataFrame, local: bool) -> DataFrame:
     threshold falls on the right side.
     """
     v, c = F.col("value"), F.col("context")
-    rows = candidates.withColumn("value_lower", F.lower("value")).withColumn("context_lower", F.lower("context")).withColumn("h", H.entropy(v))
-    vl, cl, n, h = F.col("value_lower"), F.col("context_lower"), F.octet_length("value"), F.col("h")
-    gate = F.col("p_gated")
-    failed = (
-        F.when(n < F.col("p_minlength"), GUARDS[0])
-        .when((F.col("p_maxlength") > 0) & (n > F.col("p_maxlength")), GUARDS[1])
-        .when(F.exists("p_exclude", lambda r: F.rlike(v, r) | F.rlike(c, r)), GUARDS[2])
-        .when(H.is_uuid(v), GUARDS[3])
-        .when((F.col("p_category") != "url") & (H.is_file_path(v) | H.is_content_type(v)), GUARDS[4])
-        .when(H.has_code_pattern(v) & (n < 40), GUARDS[5])
-        .when(F.contains("p_lower", F.lit("email")) & H.is_placeholder_email(v), GUARDS[6])
-        .when((F.size("p_need_raw") > 0) & ~F.exists("p_need", lambda t: F.contains(cl, t)), GUARDS[7])
-        .when(gate & ~H.is_random_secret(v, F.col("p_bits"), F.col("p_least"), h), GUARDS[8])
-    )
-    kept = rows.withColumn("guard", failed)
-    terms = {
-        "s_entropy": F.when(gate, 0.08).when((n >= 20) & (h >= 3.7), 0.05).when((n >= 20) & (h <= 2.2), -0.10).otherwise(0.0),
-        "s_assignment": F.when(F.rlike(c, F.lit(H.ASSIGNMENT)), 0.12).otherwise(0.0),
-        "s_signal": F.when(H.any_in(cl, H.SIGNALS), 0.08).otherwise(0.0),
-        "s_matches": F.least(F.lit(0.12), _hits(F.col("p_matches"), vl, cl) * F.lit(0.04)),
-        "s_boost": F.least(F.lit(0.15), _hits(F.col("p_boost"), vl, cl) * F.lit(0.05)),
-        "s_excludes": -F.least(F.lit(0.30), _hits(F.col("p_excludes"), vl, cl) * F.lit(0.08)),
-        "s_penalty": -F.least(F.lit(0.35), _hits(F.col("p_penalty"), vl, cl) * F.lit(0.10)),
-        "s_documentation": F.when(H.is_documentation(v, c), -0.22).otherwise(0.0),
-        "s_key": F.when(H.is_translation_key(v) | H.is_i18n_key(v), -0.18).otherwise(0.0),
-        "s_function": F.when(H.is_function_name(v) | H.is_js_function(v), -0.15).otherwise(0.0),
-        "s_constant": F.when(H.is_js_constant(v), -0.10).otherwise(0.0),
-        "s_minified": F.when(H.is_in_minified(c) | H.is_pattern_in_minified(v, c), -0.12).otherwise(0.0),
-        "s_special": _boost(F.col("p_lower"), v),
-        "s_local": F.lit(LOCAL_BONUS if local else 0.0),
-    }
-    open_ = F.col("guard").isNull()
-    scored = kept.select("*", *[F.when(open_, t).otherwise(F.lit(0.0)).alias(k) for k, t in terms.items()])
+    n, gate = F.octet_length("value"), F.col("p_gated")
+
+    def first(low):
+        vl, cl, h = low["value_lower"], low["context_lower"], low["h"]
+        failed = (
+            F.when(n < F.col("p_minlength"), GUARDS[0])
+            .when((F.col("p_maxlength") > 0) & (n > F.col("p_maxlength")), GUARDS[1])
+            .when(F.exists("p_exclude", lambda r: F.rlike(v, r) | F.rlike(c, r)), GUARDS[2])
+            .when(H.is_uuid(v), GUARDS[3])
+            .when((F.col("p_category") != "url") & (H.is_file_path(v) | H.is_content_type(v)), GUARDS[4])
+            .when(H.has_code_pattern(v) & (n < 40), GUARDS[5])
+            .when(F.contains("p_lower", F.lit("email")) & H.is_placeholder_email(v), GUARDS[6])
+            .when((F.size("p_need_raw") > 0) & ~F.exists("p_need", lambda t: F.contains(cl, t)), GUARDS[7])
+            .when(gate & ~H.is_random_secret(v, F.col("p_bits"), F.col("p_least"), h), GUARDS[8])
+        )
+        return F.struct(vl.alias("value_lower"), cl.alias("context_lower"), h.alias("h"), failed.alias("guard"))
+
+    def terms(_):
+        vl, cl, h = F.col("value_lower"), F.col("context_lower"), F.col("h")
+        made = {
+            "s_entropy": F.when(gate, 0.08).when((n >= 20) & (h >= 3.7), 0.05).when((n >= 20) & (h <= 2.2), -0.10).otherwise(0.0),
+            "s_assignment": F.when(F.rlike(c, F.lit(H.ASSIGNMENT)), 0.12).otherwise(0.0),
+            "s_signal": F.when(H.any_in(cl, H.SIGNALS), 0.08).otherwise(0.0),
+            "s_matches": F.least(F.lit(0.12), _hits(F.col("p_matches"), vl, cl) * F.lit(0.04)),
+            "s_boost": F.least(F.lit(0.15), _hits(F.col("p_boost"), vl, cl) * F.lit(0.05)),
+            "s_excludes": -F.least(F.lit(0.30), _hits(F.col("p_excludes"), vl, cl) * F.lit(0.08)),
+            "s_penalty": -F.least(F.lit(0.35), _hits(F.col("p_penalty"), vl, cl) * F.lit(0.10)),
+            "s_documentation": F.when(H.is_documentation(v, c), -0.22).otherwise(0.0),
+            "s_key": F.when(H.is_translation_key(v) | H.is_i18n_key(v), -0.18).otherwise(0.0),
+            "s_function": F.when(H.is_function_name(v) | H.is_js_function(v), -0.15).otherwise(0.0),
+            "s_constant": F.when(H.is_js_constant(v), -0.10).otherwise(0.0),
+            "s_minified": F.when(H.is_in_minified(c) | H.is_pattern_in_minified(v, c), -0.12).otherwise(0.0),
+            "s_special": _boost(F.col("p_lower"), v),
+            "s_local": F.lit(LOCAL_BONUS if local else 0.0),
+        }
+        open_ = F.col("guard").isNull()
+        return F.struct(*[F.when(open_, t).otherwise(F.lit(0.0)).alias(k) for k, t in made.items()])
+
+    lower = F.struct(F.lower("value").alias("value_lower"), F.lower("context").alias("context_lower"), F.when(gate | (n >= 20), H.entropy(v)).otherwise(0.0).alias("h"))
+    rows = _once(_once(candidates, lower, first), F.lit(0), terms)
     total = F.lit(BASE)
-    for k in terms:
+    for k in TERMS:
         total = total + F.col(k)
-    score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), total))
-    out = scored.withColumn("confidence", F.when(open_, score).otherwise(F.lit(0.0)))
+    open_, score = F.col("guard").isNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), total))
+    out = rows.withColumn("confidence", F.when(open_, score).otherwise(F.lit(0.0)))
     return out.withColumn("valid", open_ & (F.col("confidence") >= (LOCAL_THRESHOLD if local else THRESHOLD))).drop("value_lower", "context_lower", "h")

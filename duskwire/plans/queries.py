@@ -41,8 +41,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt to as many tasks as there are cores, where a small table has fewer partitions; a large one stays as it is."""
+    n = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= n else rows.repartition(n)
+
+
 def order_texts(spark: SparkSession, sf_dir: str, text: str, source: str = "concat('orders/', o_orderkey)") -> DataFrame:
-    return table(spark, sf_dir, "orders").select(F.expr(source).alias("source_url"), F.expr(text).alias("content"))
+    return spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")).select(F.expr(source).alias("source_url"), F.expr(text).alias("content"))
 
 
 def _sql(text: str) -> str:
@@ -59,11 +65,11 @@ PAGES_SQL = "SELECT url AS source_url, html AS content FROM pages"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.concat(F.lit("documents/"), "doc_id").alias("source_url"), F.col("text").alias("content"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.concat(F.lit("documents/"), "doc_id").alias("source_url"), F.col("text").alias("content"))
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inputs.pages_as_content(table(spark, sf_dir, "pages")).select("source_url", "content")
+    return inputs.pages_as_content(spread(table(spark, sf_dir, "pages"))).select("source_url", "content")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -240,7 +246,7 @@ def values(spark, d):
     rows = each[0].toDF("v")
     for x in each[1:]:
         rows = rows.union(x.toDF("v"))
-    return rows.where("v <> ''").distinct().withColumn("c", F.col("v"))
+    return spread(rows.where("v <> ''").distinct()).withColumn("c", F.col("v"))
 
 
 @query("value_heuristics", f"SELECT v, {', '.join(f'{sql} AS {k}' for k, sql in S.heuristics().items() if k not in ('documentation_context', 'classes'))}, ({S.heuristics()['classes']})::INT AS classes, round({S.entropy('v')}, 6) AS entropy FROM ({VALUES_SQL})")
@@ -338,12 +344,12 @@ def url_queue(spark, d):
     return domains.round_robin(urls(spark, d))
 
 
-FETCHES_SQL = "SELECT concat('host', user_id % 401, '.test') AS domain, ts, event_id AS seq, CASE WHEN event_type = 'error' THEN 429 WHEN event_id % 11 = 0 THEN 404 WHEN event_id % 13 = 0 THEN 503 ELSE 200 END AS status, (abs(value) * 1000000)::BIGINT AS duration_ns FROM events"
+FETCHES_SQL = "SELECT concat('host', event_id % 3001, '.test') AS domain, ts, event_id AS seq, CASE WHEN event_type = 'error' THEN 429 WHEN event_id % 11 = 0 THEN 404 WHEN event_id % 13 = 0 THEN 503 ELSE 200 END AS status, (abs(value) * 1000000)::BIGINT AS duration_ns FROM events"
 
 
 def fetches(spark, d):
     status = F.expr("CASE WHEN event_type = 'error' THEN 429 WHEN event_id % 11 = 0 THEN 404 WHEN event_id % 13 = 0 THEN 503 ELSE 200 END")
-    return table(spark, d, "events").select(F.expr("concat('host', user_id % 401, '.test')").alias("domain"), "ts", F.col("event_id").alias("seq"), status.alias("status"), F.round(F.abs("value") * 1000000).cast("long").alias("duration_ns"))
+    return table(spark, d, "events").select(F.expr("concat('host', event_id % 3001, '.test')").alias("domain"), "ts", F.col("event_id").alias("seq"), status.alias("status"), F.round(F.abs("value") * 1000000).cast("long").alias("duration_ns"))
 
 
 @query("status_summary", f"SELECT status, count(*) AS n, row_number() OVER (ORDER BY CASE status WHEN 429 THEN 1 WHEN 403 THEN 2 WHEN 404 THEN 3 WHEN 500 THEN 4 WHEN 502 THEN 5 WHEN 503 THEN 6 WHEN 504 THEN 7 ELSE 8 END, status)::INT AS rank FROM ({FETCHES_SQL}) GROUP BY status")
@@ -372,7 +378,7 @@ def rate_limit_backoff(spark, d):
     return domains.backoff(fetches(spark, d))
 
 
-OPEN_AT = "2024-01-10 00:00:00"
+OPEN_AT = "2024-01-25 00:00:00"
 
 
 @query("open_urls", f"SELECT q.domain, q.seq FROM ({FETCHES_SQL}) q WHERE q.domain NOT IN (SELECT domain FROM ({BACKOFF_SQL}) WHERE discarded OR last_blocked_until > TIMESTAMP '{OPEN_AT}')")
