@@ -136,8 +136,9 @@ def search(df: DataFrame, k: int = 20, query_mod: int = 20, id_col: str = "vec_i
         if parts[c] > 1:
             group, fill = group + int(parts[c]), 0
     enough = min(total, max(PROBE_ROWS, ceil(probe * total)))
-    queries = rows.where(F.pmod("vec_id", F.lit(query_mod)) == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     blocks = max(1, ceil(total / query_mod / BLOCK_QUERIES))
+    asked = rows.where(F.pmod("vec_id", F.lit(query_mod)) == 0).repartition(8 * blocks, "vec_id")  # walking cells takes time, not room
+    queries = asked.groupBy("vec_id").agg(F.min("v").alias("v"))
 
     def walk(batches):
         for b in batches:
