@@ -41,6 +41,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes up to which a side of a join is broadcast; beyond, the join is a shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, marked for broadcast if its rows and the bytes in its texts and arrays, which are counted, allow."""
+    held = [F.octet_length(f.name) if f.dataType.typeName() == "string" else F.size(f.name) * 16 for f in df.schema if f.dataType.typeName() in ("string", "array")]
+    each = sum((F.coalesce(x, F.lit(0)).cast("long") for x in held), F.lit(32).cast("long"))
+    n, total = df.agg(F.count("*"), F.coalesce(F.sum(each), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and total <= size else df
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a staged path through Hadoop's file system, whichever store it is in."""
     jvm = spark._jvm

@@ -19,11 +19,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duskwire.llm.common import staged
+from duskwire.llm.common import broadcast_if_small, staged
 
 SHINGLE, THRESHOLD = 5, 0.8
-#: Rows up to which an index or the candidates are broadcast; beyond, the join is a shuffle.
-BROADCAST_ROWS = 1_000_000
 NOT_A_WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -73,11 +71,6 @@ def sketches(shingles: DataFrame, threshold: float) -> DataFrame:
     return shingles.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k).select("item_id", "width", "h")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Marked for broadcast if its size, which is counted, allows."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def contained_items(
     docs: DataFrame,
     items: DataFrame,
@@ -101,7 +94,7 @@ def contained_items(
     """
     named = items.select(F.xxhash64(item_text_col).alias("copy"), F.col(item_id_col), F.col(item_text_col))
     shingles = staged(item_shingles(named.withColumn("both", F.struct(item_id_col, "copy")), "both", item_text_col, width), "item_shingles")
-    sketch = _small(sketches(shingles, threshold))
+    sketch = broadcast_if_small(sketches(shingles, threshold))
     used = sorted(r["width"] for r in shingles.select("width").distinct().collect())
     rows = docs.select(F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("copy")).alias("doc"), words(F.col(text_col)).alias("words"))
     hits = None
@@ -112,9 +105,9 @@ def contained_items(
     if hits is None:
         hits = rows.select("doc").crossJoin(shingles.select("item_id")).limit(0)
     found = staged(hits.distinct(), "candidates")
-    kept = rows.join(_small(found.select("doc").distinct()), "doc", "left_semi")
+    kept = rows.join(broadcast_if_small(found.select("doc").distinct()), "doc", "left_semi")
     full = None
-    index = _small(shingles.select("item_id", "width", "shingle", "n"))
+    index = broadcast_if_small(shingles.select("item_id", "width", "shingle", "n"))
     for w in used:
         held = _shingles(kept, w).select("doc", F.lit(w).alias("width"), _text(w).alias("shingle"))
         part = held.join(index, ["width", "shingle"]).select("doc", "item_id", "shingle", "n")
@@ -130,5 +123,5 @@ def contained_items(
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without those that hold a test item; columns and other rows, null ids included, stay as they are."""
-    bad = contained_items(docs, items, id_col, text_col, **options).select("doc_id").distinct()
-    return docs.join(_small(bad), docs[id_col].eqNullSafe(bad.doc_id), "left_anti")
+    bad = staged(contained_items(docs, items, id_col, text_col, **options).select("doc_id").distinct(), "leaks")
+    return docs.join(broadcast_if_small(bad), docs[id_col].eqNullSafe(bad.doc_id), "left_anti")

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duskwire.llm.common import staged
+from duskwire.llm.common import broadcast_if_small, staged
 
 KINDS = ["email", "ip", "card", "phone"]
 _E = r"[A-Za-z0-9._%+-]"
@@ -30,8 +30,6 @@ TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 LEFT_CHARS = 80
 #: Rounds over the graph; a pattern is sure from this confidence and so many distinct seeds on.
 ROUNDS, CONFIDENT, SUPPORT = 3, 0.8, 3
-#: Rows with spans up to which they are broadcast to the texts that they cut; beyond, the join is a shuffle.
-BROADCAST_ROWS = 100_000
 SITE = "array<struct<start:int,end:int,value:string,left:string>>"
 
 
@@ -218,7 +216,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
     step = lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] > s["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.element_at(acc, -1)["k"].alias("k"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(s)))
     merged = F.aggregate("spans", F.array().cast("array<struct<start:int,k:int,end:int>>"), step)
     f = found.select(F.col("doc_id").alias("fd"), F.col("copy").alias("fc"), merged.alias("cuts"))
-    f = F.broadcast(f) if f.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else f
+    f = broadcast_if_small(f)
     both = docs.join(f, docs[id_col].eqNullSafe(f.fd) & F.xxhash64(docs[text_col]).eqNullSafe(f.fc), "left")
     text = docs[text_col]
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duskwire.llm.common import connected_components, staged
+from duskwire.llm.common import broadcast_if_small, connected_components, staged
 
 SEED = 42
 #: Position sets of the index.
@@ -226,10 +226,6 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Rows up to which the dropped ones are broadcast to the texts; beyond, the join is a shuffle.
-BROADCAST_ROWS = 1_000_000
-
-
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, bits: int = 3) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id, null ids last, then of the smallest text hash.
 
@@ -238,22 +234,20 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fps, members = _rooted(docs, id_col, text_col, width, bits)
     rows = fps.join(members.select("fp", "root"), "fp").select("root", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "copy").alias("key"))
     counted = staged(rows.groupBy("root", "key").agg(F.count("*").alias("n")), "keys")
-    first = counted.groupBy("root").agg(F.min("key").alias("first"))
+    # Written down, so that the join below deals its sides out for itself and may split a root that many rows share.
+    first = staged(counted.groupBy("root").agg(F.min("key").alias("first")), "firsts")
     both = counted.join(first, "root")
     gone = both.where(F.col("key") != F.col("first")).select("key.doc_id", "key.copy")
     again = both.where((F.col("key") == F.col("first")) & (F.col("n") > 1)).select("key.doc_id", "key.copy")
 
-    def small(df):
-        return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
     def same(rows, d):
         return rows[id_col].eqNullSafe(d._id) & F.xxhash64(rows[text_col]).eqNullSafe(d._copy)
 
     gone, again = (d.toDF("_id", "_copy") for d in (gone, again))
-    left = docs.join(small(gone), same(docs, gone), "left_anti")
+    left = docs.join(broadcast_if_small(gone), same(docs, gone), "left_anti")
     if again.limit(1).count():
         again = staged(again, "repeats")
-        rows = docs.join(small(again), same(docs, again), "left_semi")
+        rows = docs.join(broadcast_if_small(again), same(docs, again), "left_semi")
         once = rows.groupBy(id_col, F.xxhash64(text_col).alias("_copy")).agg(*[F.first(c).alias(c) for c in docs.columns if c != id_col])
-        left = left.join(small(again), same(left, again), "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+        left = left.join(broadcast_if_small(again), same(left, again), "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
     return left.select(*docs.columns)
