@@ -130,7 +130,7 @@ def read_files(spark: SparkSession, paths: str | list[str], max_mb: float = 0, r
 
     The size limit is a predicate on ``length`` and is pushed to the file listing, so a
     larger file is never read. Binary files, by ending or by their first 512 bytes, are
-    left out. 0 or less means no limit.
+    left out, and empty ones may be: they hold nothing. 0 or less means no limit.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(paths)
     if max_mb > 0:
