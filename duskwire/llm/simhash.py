@@ -206,7 +206,9 @@ def _rooted(docs: DataFrame, id_col: str, text_col: str, width: int, bits: int)
     fps = staged(fingerprints(docs, id_col, text_col, width), "fingerprints")
     groups = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     comp = connected_components(fingerprint_links(groups.select("fp"), bits))
-    return fps, groups.join(comp, groups.fp == comp.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("root"))
+    members = groups.join(comp, groups.fp == comp.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("root"))
+    # Written down, so that joins on ``fp`` deal rows out for themselves and may split a fingerprint that many share.
+    return fps, staged(members, "members")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, bits: int = 3) -> DataFrame:
