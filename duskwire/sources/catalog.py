@@ -74,10 +74,22 @@ class LoadStats:
 
 
 def builtin() -> list[Pattern]:
-    """The built-in definitions, in name order. They are those whose shape is their own;
-    the many alike for a service's name next to a key follow from ``keyword_pattern``,
-    whose services are a parameter, or come with a custom file."""
-    return from_yaml(resources.files("duskwire").joinpath("data", "patterns.yaml").read_text(encoding="utf-8"))
+    """The built-in definitions, in name order: those whose shape is their own, and the many
+    alike for a service's name next to a key, which ``keyword_pattern`` makes of a table."""
+    return sorted(from_yaml(_data("patterns.yaml")) + _services(), key=lambda p: p.name)
+
+
+def _data(name: str) -> str:
+    return resources.files("duskwire").joinpath("data", name).read_text(encoding="utf-8")
+
+
+def _services() -> list[Pattern]:
+    out = []
+    for line in _data("keyword.tsv").splitlines():
+        if not line.startswith("#"):
+            name, category, keyword, need, least, value, description = line.split("\t")
+            out.append(keyword_pattern(name, value, keyword, category, description, int(least), need))
+    return out
 
 
 #: Fixed values of a keyword pattern: context that speaks for and against it, and its entropy gate.
@@ -86,17 +98,18 @@ KEYWORD_PENALTY = ("example", "sample", "placeholder", "test", "docs", "document
 KEYWORD_BITS, KEYWORD_BITS_BYTES = 3.6, 24
 
 
-def keyword_pattern(name: str, value: str, keyword: str | None = None, category: str = "cloud", description: str | None = None, minlength: int | None = None) -> Pattern:
+def keyword_pattern(name: str, value: str, keyword: str | None = None, category: str = "cloud", description: str | None = None, minlength: int | None = None, need: str | None = None) -> Pattern:
     """The rule for a service-scoped key: ``keyword`` (by default the name without its number)
     at most 40 characters before a whole-word match of ``value``, such as ``[0-9a-z]{32}``,
-    with the keyword required in the context. ``minlength`` is by default the first count in ``value``."""
+    with ``need``, by default the keyword, required in the context. ``minlength`` is by default the first count in ``value``."""
     stem = re.sub(r"_[0-9]+$", "", name)
     word = stem if keyword is None else keyword
+    term = word if need is None else need
     counted = re.search(r"\{([0-9]+)", value)
     least = minlength if minlength is not None else int(counted[1]) if counted else 0
     return Pattern(
-        name, rf"(?:{word}).{{0,40}}\b({value})\b", description or f"{stem.replace('_', ' ').capitalize()} API Key", True, category, least, 0, requiredcontextany=(word,),
-        contextboostany=(word, *KEYWORD_BOOST), contextpenaltyany=KEYWORD_PENALTY, useentropy=True, minentropy=KEYWORD_BITS, entropyminlength=KEYWORD_BITS_BYTES,
+        name, rf"(?:{word}).{{0,40}}\b({value})\b", description or f"{stem.replace('_', ' ').capitalize()} API Key", True, category, least, 0, requiredcontextany=(term,),
+        contextboostany=(term, *KEYWORD_BOOST), contextpenaltyany=KEYWORD_PENALTY, useentropy=True, minentropy=KEYWORD_BITS, entropyminlength=KEYWORD_BITS_BYTES,
     )
 
 
