@@ -234,6 +234,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Exact repeats of that row go too. All columns stay as they are.
     """
     fps, members = _rooted(docs, id_col, text_col, width, bits)
+    return keep_first(docs, fps, members, id_col, text_col)
+
+
+def keep_first(docs: DataFrame, fps: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The row of each root that ``deduplicate`` keeps, by ``doc_id, fp, copy`` of all rows and ``fp, root``."""
     rows = fps.join(members.select("fp", "root"), "fp").select("root", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "copy").alias("key"))
     counted = staged(rows.groupBy("root", "key").agg(F.count("*").alias("n")), "keys")
     # Written down, so that the join below deals its sides out for itself and may split a root that many rows share.
