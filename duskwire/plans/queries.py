@@ -243,7 +243,7 @@ VALUES_SQL = "SELECT DISTINCT v, v AS c FROM (SELECT p_name AS v FROM part UNION
 
 def values(spark, d):
     part, pages_ = table(spark, d, "part"), table(spark, d, "pages")
-    each = [part.select("p_name"), part.select("p_type"), table(spark, d, "customer").select("c_name"), pages_.select("url"), pages_.select(F.explode(F.split(F.substring("html", 1, 2000), ">"))), table(spark, d, "documents").select(F.explode(F.split("text", " ")))]
+    each = [part.select("p_name"), part.select("p_type"), table(spark, d, "customer").select("c_name"), pages_.select("url"), pages_.select(F.explode(F.split("html", ">"))), table(spark, d, "documents").select(F.explode(F.split("text", " ")))]
     rows = each[0].toDF("v")
     for x in each[1:]:
         rows = rows.union(x.toDF("v"))
