@@ -16,20 +16,27 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
 
-    Only where the session names none (a test on one machine) is one made here.
+    Only where the session names none and runs on one machine, as in a test, one is
+    made here; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
         named = tempfile.mkdtemp(prefix="duskwire-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/duskwire/{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/duskwire/{uuid.uuid4().hex}/{name}"
+    return f"{_own_dir(spark)}/{uuid.uuid4().hex}/{name}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -41,6 +48,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(spark: SparkSession) -> None:
+    """Delete all that this application has staged. Results that are not yet written or collected read it, so call it after them."""
+    drop_path(spark, _own_dir(spark))
+
+
+def _drop(df: DataFrame) -> None:
+    """Delete a staged table that nothing reads any more."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        drop_path(df.sparkSession, path)
+
+
 #: Rows and bytes up to which a side of a join is broadcast; beyond, the join is a shuffle.
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
@@ -72,36 +90,34 @@ def _digest(edges: DataFrame) -> tuple:
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest node reachable, for every node of ``edges(a, b)``.
 
-    Alternates large-star and small-star steps; each is one group-by on a node
-    with a minimum (combined before the shuffle) and one join back, so a hub with
-    many neighbours is split by adaptive execution and never gathered whole.
-    Every round is checkpointed to the shared folder. Self loops and repeated
-    edges are harmless; an empty table gives an empty result.
+    Alternates large-star and small-star steps; each is a minimum by node (combined
+    before the shuffle) and a join back. The minima are written down first: small ones
+    are broadcast, so that a hub's edges aren't moved at all, and larger ones are a
+    plain scan, so that both sides of the join are dealt out anew and adaptive
+    execution splits a hub. Every round is written to the shared folder, and the round
+    before it deleted. Self loops and repeated edges are harmless; an empty table
+    gives an empty result.
 
     Returns ``node, component``.
     """
-    shared_dir(edges.sparkSession)
-    cur = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    cur = cur.checkpoint()
+    cur = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     before = _digest(cur)
-    for _ in range(max_rounds):
+    for _ in range(max_rounds if before[0] else 0):
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low, "u")
-            .select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-            .select("e.u", "e.v")
-            .where("u <> v")
-            .distinct()
-        )
-        cur = small.checkpoint()
+        low = staged(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "lows")
+        large = staged(both.where("v > u").join(broadcast_if_small(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+        least = staged(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        star = F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        small = staged(large.join(broadcast_if_small(least), "u").select(F.explode(star).alias("e")).select("e.u", "e.v").where("u <> v").distinct(), "small")
+        for old in (cur, low, large, least):
+            _drop(old)
+        cur = small
         after = _digest(cur)
         if after == before:
             break
         before = after
     else:
-        raise RuntimeError("components did not settle")
+        if before[0]:
+            raise RuntimeError("components did not settle")
     roots = cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

@@ -223,9 +223,10 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     repeated; an empty table gives no rows. Other columns of ``docs`` are ignored.
     """
     fps, members = _rooted(docs, id_col, text_col, width, bits)
-    best = members.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = members.join(best, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    # Written down, so that neither join below is dealt by an aggregate, whose partitions can't be split.
+    best = staged(members.groupBy("root").agg(F.min("first_id").alias("component_id")), "best")
+    named = members.join(broadcast_if_small(best), "root").select("fp", "component_id")
+    return fps.join(broadcast_if_small(staged(named, "named")), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, bits: int = 3) -> DataFrame:
@@ -239,11 +240,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_first(docs: DataFrame, fps: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The row of each root that ``deduplicate`` keeps, by ``doc_id, fp, copy`` of all rows and ``fp, root``."""
-    rows = fps.join(members.select("fp", "root"), "fp").select("root", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "copy").alias("key"))
+    rows = fps.join(broadcast_if_small(members.select("fp", "root")), "fp").select("root", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "copy").alias("key"))
     counted = staged(rows.groupBy("root", "key").agg(F.count("*").alias("n")), "keys")
     # Written down, so that the join below deals its sides out for itself and may split a root that many rows share.
     first = staged(counted.groupBy("root").agg(F.min("key").alias("first")), "firsts")
-    both = counted.join(first, "root")
+    both = staged(counted.join(broadcast_if_small(first), "root"), "both")
     gone = both.where(F.col("key") != F.col("first")).select("key.doc_id", "key.copy")
     again = both.where((F.col("key") == F.col("first")) & (F.col("n") > 1)).select("key.doc_id", "key.copy")
 

@@ -1,7 +1,5 @@
 from __future__ import annotations
 
-from collections import defaultdict
-
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +9,7 @@ from tests.llm.test_bpe import digests
 from tests.llm.test_decontam import expected as leaks
 from tests.llm.test_decontam import pairs
 from tests.llm.test_pii import spans
-from tests.llm.test_simhash import plain_components, plain_fingerprint
+from tests.llm.test_similar import expected as near
 
 
 @pytest.fixture(scope="module")
@@ -40,11 +38,7 @@ def test_quality_keeps_good_documents_and_drops_junk(spark, sf_dir, stages):
 
 
 def test_one_of_each_near_group(stages):
-    rows = pairs(stages[1], "doc_id", "text")
-    groups = defaultdict(list)
-    for (i, _), c in zip(rows, plain_components([plain_fingerprint(t) for _, t in rows]), strict=True):
-        groups[c].append(i)
-    assert ids(stages[2]) == {min(g) for g in groups.values()}
+    assert sorted((False, i) for i in ids(stages[2])) == near(pairs(stages[1], "doc_id", "text"))
 
 
 def test_benchmark_items_are_gone(spark, sf_dir, stages):
