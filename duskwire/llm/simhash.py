@@ -7,8 +7,11 @@ per *four* positional bytes. The fourteen position sets ``{a, b, c, d}`` with
 ``a ^ b ^ c ^ d == 0`` (the planes of the three-dimensional space over GF(2)) are
 such that every five positions hold one of the sets entirely, so a pair sharing
 five bytes meets in some list, and 32-bit keys keep chance meetings rare however
-many documents there are. Within a list the shared positional bytes of a pair are
-tallied; pairs with five or more are kept and verified by their differing bits.
+many documents there are. Within a list the remaining four positions are indexed once
+more: a run of fingerprints with one of those bytes in common adds one to the tally of
+each of its pairs, and a pair of no run has the four bytes of the list alone and goes
+unseen. The pairs that reach five are verified by their differing bits. Long lists and
+short ones go the same way.
 """
 
 from __future__ import annotations
@@ -27,8 +30,10 @@ SEED = 42
 #: Position sets of the index.
 KEYS = [c for c in combinations(range(8), 4) if c[0] ^ c[1] ^ c[2] ^ c[3] == 0]
 MIN_SHARED = 5
-#: Lists up to this length are compared in blocks; beyond it each fingerprint looks up its neighbours.
-DENSE = 4096
+#: Positions that each set leaves free.
+FREE = np.array([[p for p in range(8) if p not in c] for c in KEYS])
+#: Pairs of a run that are tallied and verified at once.
+BLOCK_PAIRS = 2_000_000
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -105,40 +110,64 @@ def _union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             parent[max(i, j)] = min(i, j)
 
 
-def _masks(free: np.ndarray, bits: int):
-    one = [np.uint64(1) << np.uint64(b) for b in free]
-    for k in range(1, bits + 1):
-        for c in combinations(one, k):
-            yield np.bitwise_or.reduce(np.array(c, np.uint64))
+def _byte(f: np.ndarray, position) -> np.ndarray:
+    return (f >> (np.uint64(8) * (np.uint64(7) - np.asarray(position, np.uint64)))) & np.uint64(255)
 
 
-def links_within(fps: np.ndarray, positions: tuple[int, ...], bits: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links inside one posting list of distinct, ascending fingerprints.
+def _near(x: np.ndarray, bits: int) -> np.ndarray:
+    """Of xors: whether the tally reaches the minimum, and the differing bits verify it."""
+    return (_shared_bytes(x) >= MIN_SHARED) & (_popcount(x) <= bits)
 
-    Joining each fingerprint to the smallest of its tree keeps every connection of
-    the list with fewer rows than it has fingerprints, so a list of n near copies
-    gives under n links and not n squared.
+
+def _run_links(run: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links inside one run of distinct, ascending fingerprints.
+
+    Joining each fingerprint to the smallest of its tree keeps every connection of the
+    run with fewer rows than it has fingerprints, so a run of n near copies gives under
+    n links and not n squared. Pairs are tallied in blocks of bounded size.
     """
-    n = len(fps)
+    n = len(run)
     parent = np.arange(n)
-    if n <= DENSE:
-        step = max(1, 2_000_000 // n)
-        for s in range(0, n, step):
-            x = fps[s : s + step, None] ^ fps[None, :]
-            i, j = np.nonzero((_shared_bytes(x) >= MIN_SHARED) & (_popcount(x) <= bits))
-            up = (i + s) < j
-            _union(parent, i[up] + s, j[up])
-    else:
-        free = np.array([8 * (7 - p) + k for p in range(8) if p not in positions for k in range(8)])
-        for mask in _masks(free, bits):
-            other = fps ^ mask
-            at = np.searchsorted(fps, other)
-            hit = np.flatnonzero(fps[np.minimum(at, n - 1)] == other)
-            hit = hit[at[hit] > hit]
-            _union(parent, hit, at[hit])
+    step = max(1, BLOCK_PAIRS // n)
+    for s in range(0, n, step):
+        i, j = np.nonzero(_near(run[s : s + step, None] ^ run[None, :], bits))
+        up = (i + s) < j
+        _union(parent, i[up] + s, j[up])
     roots = np.array([_root(parent, i) for i in range(n)])
     child = np.flatnonzero(roots != np.arange(n))
-    return fps[child], fps[roots[child]]
+    return run[child], run[roots[child]]
+
+
+def list_links(keys: np.ndarray, fps: np.ndarray, bits: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Links inside posting lists: ``keys`` ascending, ``fps`` distinct within a key.
+
+    For each of the four positions that a list's set leaves free, its fingerprints are
+    sorted by that byte into runs, and only pairs of a run are looked at.
+    """
+    out_a, out_b = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    several = np.repeat(np.diff(np.append(start, len(keys))) > 1, np.diff(np.append(start, len(keys))))
+    keys, fps = keys[several], fps[several]
+    if not len(keys):
+        return out_a[0], out_b[0]
+    nth = np.cumsum(np.concatenate([[0], keys[1:] != keys[:-1]]))
+    free = FREE[(keys.view(np.int64) >> 32)]
+    for position in range(4):
+        byte = _byte(fps, free[:, position])
+        order = np.lexsort((fps, byte, nth))
+        run = (nth[order] << 8) | byte[order].astype(np.int64)
+        f = fps[order]
+        cut = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+        size = np.diff(np.append(cut, len(run)))
+        two = cut[size == 2]
+        two = two[_near(f[two] ^ f[two + 1], bits)]
+        out_a.append(f[two + 1])
+        out_b.append(f[two])
+        for s, n in zip(cut[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            a, b = _run_links(f[s : s + n], bits)
+            out_a.append(a)
+            out_b.append(b)
+    return np.concatenate(out_a), np.concatenate(out_b)
 
 
 def _posting_rows(batches):
@@ -157,22 +186,7 @@ def _scan_postings(bits: int):
         keep_k, keep_f = np.empty(0, np.int64), np.empty(0, np.uint64)
 
         def close(k, f):
-            out_a, out_b = [], []
-            if len(k):
-                cut = np.flatnonzero(np.diff(k)) + 1
-                starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(k)]])
-                size = ends - starts
-                two = starts[size == 2]
-                x = f[two] ^ f[two + 1]
-                two = two[(_shared_bytes(x) >= MIN_SHARED) & (_popcount(x) <= bits)]
-                out_a.append(np.maximum(f[two], f[two + 1]))
-                out_b.append(np.minimum(f[two], f[two + 1]))
-                for s, e in zip(starts[size > 2].tolist(), ends[size > 2].tolist(), strict=True):
-                    a, b = links_within(np.unique(f[s:e]), KEYS[int(k[s]) >> 32], bits)
-                    out_a.append(a)
-                    out_b.append(b)
-            a = np.concatenate(out_a) if out_a else np.empty(0, np.uint64)
-            b = np.concatenate(out_b) if out_b else np.empty(0, np.uint64)
+            a, b = list_links(k, f, bits)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
         for batch in batches:

@@ -24,6 +24,8 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
+from duskwire.llm.common import broadcast_if_small, staged
+
 SCHEMA = "record_id string, record_type string, target_uri string, warc_date string, content_type string, payload_digest string, refers_to string, payload_length long, headers map<string,string>, payload binary"
 WRITE_SCHEMA = "record_id string, record_type string, target_uri string, warc_date string, payload_digest string, refers_to string, payload_length long, payload binary"
 #: Columns that stand for one header each.
@@ -106,6 +108,13 @@ class WarcWriter(DataSourceWriter):
                 at += len(raw)
         return Written(name, tuple(cuts), at)
 
+    def abort(self, messages):
+        """Files of the tasks that did finish; those of failed tasks are never named by a manifest."""
+        fs, root = _fs(self.path)
+        for m in messages:
+            if m is not None and fs.get_file_info(f"{root}/{m.name}").is_file:
+                fs.delete_file(f"{root}/{m.name}")
+
     def commit(self, messages):
         fs, root = _fs(self.path)
         fs.create_dir(root, recursive=True)
@@ -265,6 +274,8 @@ class WarcReader(DataSourceReader):
                 if not raw.startswith(b"WARC/"):
                     raise ValueError(f"{part.file}: no record where one should start")
                 head = _header_map(raw)
+                if not head.get("content-length", "").isdigit():
+                    raise ValueError(f"{part.file}: a record without Content-Length")
                 size = int(head["content-length"])
                 row = self._columns(head)
                 if not self._wanted(row):
@@ -335,18 +346,25 @@ def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """A WARC record for every row of ``pages``.
 
     Of records with equal payloads of at least ``min_revisit_bytes`` bytes, the one
-    with the smallest id is the response and the others revisit it. Groups are found
-    from digests alone (a minimum, combined before the shuffle) and joined back on
-    the digest, where adaptive execution splits a digest that many rows share; a
-    revisit's payload goes no further. A null html counts as empty; a null url leaves
-    out its header; repeated rows stay repeated, and rows that repeat the smallest id
-    are all responses; a null id is never the smallest unless its group has no other.
+    with the smallest id is the response and the others revisit it. Only ids and
+    digests are shuffled to find the revisits: the smallest id of a digest is an
+    aggregate, combined before the shuffle and written down, so that the digests of all
+    rows meet it by a broadcast or by a join that adaptive execution can split where
+    many rows share a digest. The payloads then meet the revisits on (id, digest), which
+    no group of copies shares: by a broadcast where the revisits are few enough, and
+    else in a shuffle that such keys deal out evenly. A revisit's payload goes no
+    further. A null html counts as empty; a null url leaves out its header; repeated
+    rows stay repeated, and rows that repeat the smallest id are all responses; a null
+    id is never the smallest unless its group has no other.
     """
     raw = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), raw.alias("payload")).withColumn("sha", F.sha1("payload")).withColumn("n", F.octet_length("payload").cast("long"))
-    shared = rows.where(F.col("n") >= min_revisit_bytes).groupBy("sha").agg(F.min("page_id").alias("first_id"), F.count("*").alias("rows")).where("rows > 1 and first_id is not null").drop("rows")
-    both = rows.join(shared, "sha", "left")
-    revisit = F.coalesce(~F.col("page_id").eqNullSafe(F.col("first_id")) & F.col("first_id").isNotNull(), F.lit(False))
+    ids = staged(rows.where(F.col("n") >= min_revisit_bytes).select("page_id", "sha"), "digests")
+    shared = ids.groupBy("sha").agg(F.min("page_id").alias("first_id"), F.count("*").alias("rows")).where("rows > 1 and first_id is not null").drop("rows")
+    again = ids.join(broadcast_if_small(staged(shared, "shared")), "sha").where(~F.col("page_id").eqNullSafe(F.col("first_id"))).distinct()
+    again = staged(again.select(F.col("page_id").alias("again_id"), F.col("sha").alias("again_sha"), "first_id"), "revisits")
+    both = rows.join(broadcast_if_small(again), rows.page_id.eqNullSafe(F.col("again_id")) & (rows.sha == F.col("again_sha")), "left")
+    revisit = F.col("first_id").isNotNull()
     name = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
     return both.select(
         name(F.col("page_id")).alias("record_id"),

@@ -90,14 +90,15 @@ def test_links_join_what_all_pairs_join(spark):
     assert [root(i) for i in range(len(fps))] == plain_components(fps)
 
 
-@pytest.mark.parametrize("dense", [1, 10**6])
-def test_one_long_list_both_ways(monkeypatch, dense):
-    monkeypatch.setattr(simhash, "DENSE", dense)
+@pytest.mark.parametrize(("n", "block"), [(2, 10**6), (3, 4), (600, 1000), (9000, 10**6)])
+def test_lists_of_any_length(monkeypatch, n, block):
+    monkeypatch.setattr(simhash, "BLOCK_PAIRS", block)
     rng = np.random.default_rng(1)
-    free = rng.integers(0, 2**32, 600, dtype=np.uint64)
-    near = np.concatenate([free ^ np.uint64(1 << int(b)) for b in rng.integers(0, 32, 3)])
-    fps = np.unique(np.concatenate([free, near]))  # the four upper bytes are shared
-    a, b = simhash.links_within(fps, (0, 1, 2, 3))
+    free = rng.integers(0, 2**32, n - n // 3, dtype=np.uint64)
+    near = free[: n // 3] ^ np.uint64(1 << 5) ^ (np.uint64(1) << rng.integers(0, 32, n // 3).astype(np.uint64))
+    fps = np.unique(np.concatenate([free, near]))  # the four upper bytes are shared: one list, of the set (0, 1, 2, 3)
+    assert simhash.KEYS[0] == (0, 1, 2, 3)
+    a, b = simhash.list_links(np.zeros(len(fps), np.int64), fps)
     parent = {int(x): int(x) for x in fps}
 
     def root(x):
@@ -112,6 +113,11 @@ def test_one_long_list_both_ways(monkeypatch, dense):
     assert [root(int(x)) for x in fps] == [int(fps[c]) for c in comp]
 
 
+def test_a_pair_of_four_shared_bytes_is_not_tallied():
+    a, b = simhash.list_links(np.zeros(2, np.int64), np.array([0, 0x01010101], np.uint64))
+    assert len(a) == len(b) == 0
+
+
 def test_one_of_each_group_stays(clashing):
     kept = simhash.deduplicate(clashing)
     assert kept.columns == clashing.columns

@@ -71,3 +71,35 @@ def test_a_damaged_payload_is_noticed(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Payload-Digest: sha1:{digest}\r\nContent-Length: 5\r\n\r\nwrong\r\n\r\n".encode())
     with pytest.raises(Exception, match="doesn't have its digest"):
         warc.read_warc(spark, str(tmp_path), verify=True).collect()
+
+
+def test_no_payload_moves_for_a_digest_that_most_rows_share(spark):
+    """Few revisits are broadcast; many meet the payloads on (id, digest), which spreads a hot digest over all partitions."""
+    from duskwire.llm import common
+
+    rows = [(k, "u", "hot" if k % 3 else f"page {k}") for k in range(3000)]
+    pages = spark.createDataFrame(rows, PAGES)
+    plan = warc.page_records(pages)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    was, common.BROADCAST_ROWS = common.BROADCAST_ROWS, 0
+    defaults = common.broadcast_if_small.__defaults__
+    common.broadcast_if_small.__defaults__ = (0, 0)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = warc.page_records(pages)
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "page_id" in plan.split("hashpartitioning(")[1]
+        assert made.where("record_type = 'revisit'").count() == 1999
+        assert got(warc.roundtrip(pages, fresh_path(spark, "w"))) == expected(rows)
+    finally:
+        common.broadcast_if_small.__defaults__, common.BROADCAST_ROWS = defaults, was
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_a_record_without_a_length_is_an_error(spark, tmp_path):
+    import pytest
+
+    (tmp_path / "a.warc").write_bytes(b"WARC/1.1\r\nWARC-Type: resource\r\n\r\nbody\r\n\r\n")
+    with pytest.raises(Exception, match="without Content-Length"):
+        warc.read_warc(spark, str(tmp_path)).collect()
