@@ -238,7 +238,7 @@ def content_cache(spark, d):
 
 # ---- heuristics
 
-VALUES_SQL = "SELECT DISTINCT v, v AS c FROM (SELECT p_name AS v FROM part UNION ALL SELECT p_type FROM part UNION ALL SELECT c_name FROM customer UNION ALL SELECT url FROM pages UNION ALL SELECT unnest(string_split(substr(html, 1, 2000), '>')) FROM pages UNION ALL SELECT unnest(string_split(text, ' ')) FROM documents) WHERE v <> ''"
+VALUES_SQL = "SELECT DISTINCT v, v AS c FROM (SELECT p_name AS v FROM part UNION ALL SELECT p_type FROM part UNION ALL SELECT c_name FROM customer UNION ALL SELECT url FROM pages UNION ALL SELECT unnest(string_split(html, '>')) FROM pages UNION ALL SELECT unnest(string_split(text, ' ')) FROM documents) WHERE v <> ''"
 
 
 def values(spark, d):
@@ -395,3 +395,11 @@ RESPONSES = "CASE page_id % 5 WHEN 0 THEN 'text/html; charset=utf-8' WHEN 1 THEN
 def response_texts(spark, d):
     rows = table(spark, d, "pages").select("url", F.expr(RESPONSES).alias("content_type"), F.expr("200 + (page_id % 4) * 50").alias("status"), F.col("html").alias("body"))
     return inputs.response_content(rows)
+
+
+# ---- the rest of the library
+
+from duskwire.plans import library_queries  # noqa: E402
+
+QUERIES |= library_queries.QUERIES
+ORACLES |= library_queries.ORACLES

@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from duskwire.functions import heuristics as H
 from duskwire.functions.dialect import groups
 from duskwire.functions.risk import risk_of
-from duskwire.operators.scan import UNWANTED
+from duskwire.plans import reference_terms as H
 from duskwire.sources.catalog import Pattern
 
+# Substrings that a value of the matches dialect must not have.
+UNWANTED = ["example", "sample", "test", "placeholder", "dummy", "http://", "https://", "localhost", "127.0.0.1", "node_modules", "charset=", "@example.com"]
+
 
 def q(text: str) -> str:
     """A string literal."""
