@@ -5,6 +5,12 @@ only. Over some rounds each labels the unlabelled documents it is confident abou
 hands them to the other as training rows. Both are then calibrated on labelled rows
 that neither was trained on, and a logistic combination of the two calibrated views,
 fitted on the same rows, scores every document.
+
+The labelled rows come to the driver, up to a bound. The unlabelled ones don't: all of
+them take part, and what comes of them are sums of fixed size. The metadata view has a
+few thousand possible cells, so its training rows are a count for each; the text view is
+fitted by Newton steps, of which each needs one gradient and one matrix, added up over
+all partitions.
 """
 
 from __future__ import annotations
@@ -17,11 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duskwire.llm.linear import Scaler, fit_logistic, labelled_sample, logit, predict
+from duskwire.llm.common import broadcast_if_small, staged
+from duskwire.llm.linear import Scaler, fit_logistic, labelled_sample, logit, predict, sigmoid
 
-#: Labelled and unlabelled rows that the classifiers are fitted on, at most.
-LABELLED_ROWS, UNLABELLED_ROWS = 6_000, 4_000
+#: Labelled rows that the classifiers are fitted on, at most.
+LABELLED_ROWS = 6_000
 ROUNDS, CONFIDENT = 3, 0.97
+#: Newton steps of a round, at most, and the gradient at which they end, of a row on average.
+STEPS, SETTLED = 12, 1e-7
 #: A document is rejected when its probability of being good is under this: clear junk only.
 KEEP_FROM = 0.35
 SOURCE_SLOTS, LANG_SLOTS, LENGTH_SLOTS = 48, 16, 12
@@ -56,28 +65,38 @@ N_TEXT = 26
 N_META = SOURCE_SLOTS + LANG_SLOTS + LENGTH_SLOTS
 
 
-def meta_features(lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
-    """One-hot slots of the page's source, language and length; a null has a slot of its own."""
-    out = np.zeros(N_META)
+_OFFSETS = np.array([0, SOURCE_SLOTS, SOURCE_SLOTS + LANG_SLOTS])
+
+
+def meta_slots(lang: str | None, source: str | None, n_chars: int | None) -> tuple[int, int, int]:
+    """Slots of the page's source, language and length; a null has a slot of its own."""
     slot = lambda v, n: 0 if v is None else 1 + zlib.crc32(str(v).encode()) % (n - 1)
-    out[slot(source, SOURCE_SLOTS)] = 1
-    out[SOURCE_SLOTS + slot(lang, LANG_SLOTS)] = 1
-    out[SOURCE_SLOTS + LANG_SLOTS + (0 if n_chars is None or n_chars < 0 else min(LENGTH_SLOTS - 1, 1 + int(np.log2(n_chars + 1) / 2)))] = 1
+    length = 0 if n_chars is None or n_chars < 0 else min(LENGTH_SLOTS - 1, 1 + int(np.log2(n_chars + 1) / 2))
+    return slot(source, SOURCE_SLOTS), slot(lang, LANG_SLOTS), length
+
+
+def one_hot(slots: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(slots), N_META))
+    np.put_along_axis(out, slots + _OFFSETS, 1.0, axis=1)
     return out
 
 
 @dataclass
 class View:
-    scale: Scaler
+    """A linear model of features (text) or slots (metadata), and its calibration."""
+
     w: np.ndarray
-    cal: np.ndarray
+    scale: Scaler | None = None
+    cal: np.ndarray = None
 
     def raw(self, x: np.ndarray) -> np.ndarray:
+        if self.scale is None:
+            return sigmoid(self.w[:-1][x + _OFFSETS].sum(axis=1) + self.w[-1])
         return predict(self.w, self.scale(x))
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
         """Calibrated probability."""
-        return predict(self.cal, logit(self.raw(x))[:, None])
+        return self.raw(x) if self.cal is None else predict(self.cal, logit(self.raw(x))[:, None])
 
 
 @dataclass
@@ -86,36 +105,132 @@ class CoTrained:
     meta: View
     mix: np.ndarray
 
-    def __call__(self, xt: np.ndarray, xm: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        a, b = self.text(xt), self.meta(xm)
+    def __call__(self, xt: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b = self.text(xt), self.meta(slots)
         return a, b, predict(self.mix, np.column_stack([logit(a), logit(b)]))
 
 
-def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, ut: np.ndarray, um: np.ndarray, rounds: int = ROUNDS, confident: float = CONFIDENT) -> CoTrained:
-    """Fit on labelled rows (two views and ``y``) and unlabelled ones. Every fourth labelled row is kept for calibration."""
+def newton_sums(w: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Gradient, matrix and number of rows of a logistic loss, in one flat array; sums of these over parts are those of the whole."""
+    xs = np.hstack([x, np.ones((len(x), 1))])
+    p = sigmoid(xs @ w)
+    return np.concatenate([xs.T @ (p - y), ((xs * (p * (1 - p))[:, None]).T @ xs).ravel(), [len(x)]])
+
+
+def _sure(p: np.ndarray, confident: float) -> np.ndarray:
+    return (p >= confident) | (p <= 1 - confident)
+
+
+@dataclass
+class Rows:
+    """Unlabelled rows at hand: what a pool gives, from arrays."""
+
+    xt: np.ndarray
+    slots: np.ndarray
+
+    def cells(self, text: View, confident: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Slots, labels and counts of the rows that the text view is sure of."""
+        p = text.raw(self.xt)
+        sure = _sure(p, confident)
+        keys, n = np.unique(np.column_stack([self.slots[sure], p[sure] >= 0.5]).astype(np.int64).reshape(-1, 4), axis=0, return_counts=True)
+        return keys[:, :3], keys[:, 3], n
+
+    def sums(self, meta: View, text: View, confident: float) -> np.ndarray:
+        """``newton_sums`` of the text view over the rows that the metadata view is sure of."""
+        p = meta.raw(self.slots)
+        sure = _sure(p, confident)
+        return newton_sums(text.w, text.scale(self.xt[sure]), (p[sure] >= 0.5).astype(float))
+
+
+@dataclass
+class Table:
+    """The same from a table ``xt, slots``: counted and summed where the rows are."""
+
+    df: DataFrame
+
+    def _each(self, make, schema: str) -> DataFrame:
+        def run(batches):
+            for b in batches:
+                rows = Rows(_flat(b.column(0), N_TEXT), _flat(b.column(1), 3).astype(np.int64))
+                if b.num_rows:
+                    yield make(rows)
+
+        return self.df.select("xt", "slots").mapInArrow(run, schema)
+
+    def cells(self, text: View, confident: float):
+        def make(rows):
+            slots, label, n = rows.cells(text, confident)
+            return pa.RecordBatch.from_arrays([*(pa.array(slots[:, k].astype(np.int32)) for k in range(3)), pa.array(label.astype(np.int32)), pa.array(n.astype(np.int64))], names=["a", "b", "c", "label", "n"])
+
+        found = self._each(make, "a int, b int, c int, label int, n long").groupBy("a", "b", "c", "label").agg(F.sum("n").alias("n")).collect()
+        found.sort()
+        rows = np.array([tuple(r) for r in found], np.int64).reshape(-1, 5)
+        return rows[:, :3], rows[:, 3], rows[:, 4]
+
+    def sums(self, meta: View, text: View, confident: float) -> np.ndarray:
+        def make(rows):
+            v = rows.sums(meta, text, confident)
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v)], names=["i", "v"])
+
+        found = self._each(make, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+        d = len(text.w)
+        out = np.zeros(d + d * d + 1)
+        for r in found:
+            out[r.i] = r.v
+        return out
+
+
+def _flat(column, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def co_train(xt: np.ndarray, slots: np.ndarray, y: np.ndarray, pool, rounds: int = ROUNDS, confident: float = CONFIDENT, l2: float = 1.0) -> CoTrained:
+    """Fit on labelled rows (two views and ``y``) and a pool of unlabelled ones (``Rows`` or ``Table``).
+
+    Every fourth labelled row is kept for calibration. However many rows a view hands
+    over, together they weigh no more than the labelled ones.
+    """
     aside = np.arange(len(y)) % 4 == 3
     own = ~aside if aside.any() else np.ones(len(y), bool)
-    given: dict[str, dict[int, int]] = {"text": {}, "meta": {}}
-    views = {}
-    for _ in range(rounds + 1):
-        for name, x, u in (("text", xt, ut), ("meta", xm, um)):
-            extra = given[name]
-            rows = np.vstack([x[own], u[list(extra)]]) if extra else x[own]
-            labels = np.concatenate([y[own], list(extra.values())]) if extra else y[own]
-            scale = Scaler(rows)
-            views[name] = View(scale, fit_logistic(scale(rows), labels.astype(float)), np.array([1.0, 0.0]))
-        if len(ut) and len(y) and y[own].min() != y[own].max():
-            for name, other, u in (("text", "meta", ut), ("meta", "text", um)):
-                p = views[name].raw(u)
-                sure = np.flatnonzero((p >= confident) | (p <= 1 - confident))
-                given[other] = {int(i): int(p[i] >= 0.5) for i in sure}
-    for name, x in (("text", xt), ("meta", xm)):
+    scale, target = Scaler(xt[own]), y[own].astype(float)
+    x, hot = scale(xt[own]), one_hot(slots[own])
+    text, meta = View(fit_logistic(x, target, l2), scale), View(fit_logistic(hot, target, l2))
+    for _ in range(rounds if len(target) and target.min() != target.max() else 0):
+        where, label, n = pool.cells(text, confident)
+        weight = np.concatenate([np.ones(len(target)), n * min(1.0, len(target) / max(1, n.sum()))])
+        given = View(fit_logistic(np.vstack([hot, one_hot(where)]), np.concatenate([target, label.astype(float)]), l2, weight))
+        text = _newton(x, target, text, pool, meta, confident, l2)
+        meta = given
+    for view, rows in ((text, xt), (meta, slots)):
         if aside.any() and y[aside].min() != y[aside].max():
-            views[name].cal = fit_logistic(logit(views[name].raw(x[aside]))[:, None], y[aside].astype(float), l2=1e-3)
+            view.cal = fit_logistic(logit(view.raw(rows[aside]))[:, None], y[aside].astype(float), l2=1e-3)
     mix = np.array([1.0, 0.0, 0.0])
     if aside.any() and y[aside].min() != y[aside].max():
-        mix = fit_logistic(np.column_stack([logit(views[n](x[aside])) for n, x in (("text", xt), ("meta", xm))]), y[aside].astype(float), l2=1.0)
-    return CoTrained(views["text"], views["meta"], mix)
+        mix = fit_logistic(np.column_stack([logit(text(xt[aside])), logit(meta(slots[aside]))]), y[aside].astype(float), l2=1.0)
+    return CoTrained(text, meta, mix)
+
+
+def _newton(x: np.ndarray, y: np.ndarray, start: View, pool, meta: View, confident: float, l2: float) -> View:
+    """The text view that fits labelled rows and those that ``meta`` is sure of."""
+    d = len(start.w)
+    ridge = np.append(np.full(d - 1, l2), 1e-6)
+    view, step, last = View(start.w.copy(), start.scale), np.zeros(d), np.inf
+    for _ in range(STEPS):
+        given = pool.sums(meta, view, confident)
+        share = min(1.0, len(y) / max(1.0, given[-1]))
+        total = newton_sums(view.w, x, y) + share * given
+        g = total[:d] + ridge * view.w
+        size = np.abs(g).max()
+        if size < SETTLED * len(y):
+            break
+        if size > 2 * last:  # too far: half the way back
+            step = step / 2
+            view.w = view.w + step
+            continue
+        h = total[d : d + d * d].reshape(d, d) + np.diag(ridge + 1e-9)
+        step, last = np.linalg.solve(h, g), size
+        view.w = view.w - step
+    return view
 
 
 def _features(df: DataFrame, keep: list[str]) -> DataFrame:
@@ -124,26 +239,33 @@ def _features(df: DataFrame, keep: list[str]) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            t = np.array([text_features(x.as_py()) for x in b.column(at)], np.float64).reshape(-1, N_TEXT)
-            m = np.array([meta_features(*v) for v in zip(*(b.column(at + k).to_pylist() for k in (1, 2, 3)), strict=True)]).reshape(-1, N_META)
-            yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(list(t), pa.list_(pa.float64())), pa.array(list(m), pa.list_(pa.float64()))], names=[*b.schema.names[:at], "xt", "xm"])
+            t, m = _views([b.column(at + k) for k in range(4)])
+            yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(list(t), pa.list_(pa.float64())), pa.array(list(m), pa.list_(pa.int32()))], names=[*b.schema.names[:at], "xt", "slots"])
 
     rows = df.select(*keep, "text", "lang", "source", F.col("n_chars").cast("long"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:at]) + ", xt array<double>, xm array<double>"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:at]) + ", xt array<double>, slots array<int>"
     return rows.mapInArrow(run, schema)
 
 
+def _views(columns) -> tuple[np.ndarray, np.ndarray]:
+    """Text features and metadata slots from columns text, lang, source, n_chars."""
+    text, *meta = columns
+    t = np.array([text_features(x.as_py()) for x in text], np.float64).reshape(-1, N_TEXT)
+    return t, np.array([meta_slots(*v) for v in zip(*(c.to_pylist() for c in meta), strict=True)], np.int32).reshape(-1, 3)
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> CoTrained:
-    """Co-train on at most ``LABELLED_ROWS`` and ``UNLABELLED_ROWS`` rows of ``docs``, chosen by hash of id."""
+    """Co-train on at most ``LABELLED_ROWS`` labelled rows of ``docs``, chosen by hash of id, and on all unlabelled ones, null ids included."""
     known = _features(labelled_sample(docs, labels, "quality", LABELLED_ROWS), ["doc_id", "label"]).collect()
     known.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.xt))
-    ids = docs.select("doc_id").where("doc_id is not null").distinct().join(labels.select("doc_id"), "doc_id", "left_anti")
-    some = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(UNLABELLED_ROWS)
-    free = _features(docs.join(F.broadcast(some), "doc_id"), ["doc_id"]).collect()
-    free.sort(key=lambda r: (r.doc_id, r.xt))
-    stack = lambda rows, c, n: np.array([r[c] for r in rows], np.float64).reshape(-1, n)
     y = np.array([r.label for r in known], np.int64)
-    return co_train(stack(known, "xt", N_TEXT), stack(known, "xm", N_META), y, stack(free, "xt", N_TEXT), stack(free, "xm", N_META))
+    pool: Rows | Table = Rows(np.zeros((0, N_TEXT)), np.zeros((0, 3), np.int64))
+    if len(set(y.tolist())) > 1:
+        ids = labels.where("doc_id is not null").select("doc_id").distinct()
+        every = staged(_features(docs, ["doc_id"]), "features")
+        pool = Table(staged(every.join(broadcast_if_small(ids), "doc_id", "left_anti").select("xt", "slots"), "unlabelled"))
+    stack = lambda c, n, kind: np.array([r[c] for r in known], kind).reshape(-1, n)
+    return co_train(stack("xt", N_TEXT, np.float64), stack("slots", 3, np.int64), y, pool)
 
 
 def score(docs: DataFrame, model: CoTrained, keep_from: float = KEEP_FROM) -> DataFrame:
@@ -160,9 +282,7 @@ def score(docs: DataFrame, model: CoTrained, keep_from: float = KEEP_FROM) -> Da
 
     def run(batches):
         for b in batches:
-            t = np.array([text_features(x.as_py()) for x in b.column(at[0])], np.float64).reshape(-1, N_TEXT)
-            m = np.array([meta_features(*v) for v in zip(*(b.column(k).to_pylist() for k in at[1:]), strict=True)]).reshape(-1, N_META)
-            a, c, p = model(t, m)
+            a, c, p = model(*_views([b.column(k) for k in at]))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(a), pa.array(c), pa.array(p), pa.array(p >= keep_from)], names=[*b.schema.names, *made])
 
     schema = kept.select("*", *[F.lit(0.0).alias(c) for c in made[:3]], F.lit(True).alias("keep")).schema
