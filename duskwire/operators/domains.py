@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from duskwire.sources.shared import numbered_in_order, staged
+
 RATE_LIMITED, DISCARD_AT = 429, 2
 BLOCK_SECONDS, FIXED_BLOCK_SECONDS = 10, 5
 
@@ -31,17 +33,17 @@ def by_domain(urls: DataFrame) -> DataFrame:
 def round_robin(urls: DataFrame, position: str = "input_pos") -> DataFrame:
     """A fair queue: one URL of each domain in turn, domains with most URLs first, ties by name.
 
-    The round is a row number inside the domain. Places in the queue follow from how
-    many URLs stand in earlier rounds, which per-round totals tell, so no single task
-    sorts the whole queue.
+    Both the round (a URL's place inside its domain) and the place in the queue come
+    from places in a global order over ranges of rows, so that neither a domain nor a
+    round meets in one task. What a domain has is an aggregate, written down before the
+    rows are joined to it, so that adaptive execution can split a domain of many URLs.
     """
-    rows = urls.withColumn("domain", domain_of(F.col("url"))).where("domain is not null")
-    sizes = rows.groupBy("domain").agg(F.count("*").alias("domain_urls"))
-    placed = rows.withColumn("round", F.row_number().over(Window.partitionBy("domain").orderBy(position, "url"))).join(sizes, "domain")
-    totals = placed.groupBy("round").agg(F.count("*").alias("n"))
-    before = totals.select("round", (F.sum("n").over(Window.orderBy("round").rowsBetween(Window.unboundedPreceding, -1))).alias("earlier"))
-    inside = Window.partitionBy("round").orderBy(F.desc("domain_urls"), "domain")
-    return placed.join(before, "round").select("url", "domain", "round", (F.coalesce("earlier", F.lit(0)) + F.row_number().over(inside)).alias("queue_pos"))
+    rows = urls.select("url", position, domain_of(F.col("url")).alias("domain")).where("domain is not null")
+    placed = staged(numbered_in_order(rows, ["domain", position, "url"], "_at"), "placed")
+    sizes = staged(placed.groupBy("domain").agg(F.count("*").alias("_urls"), F.min("_at").alias("_first")), "domain_sizes")
+    rounds = placed.join(sizes, "domain").select("url", "domain", "_urls", (F.col("_at") - F.col("_first") + 1).cast("int").alias("round"))
+    queue = numbered_in_order(rounds, ["round", F.desc("_urls"), "domain"], "_at")
+    return queue.select("url", "domain", "round", (F.col("_at") + 1).alias("queue_pos"))
 
 
 def top_domains(urls: DataFrame, n: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from duskwire.functions.library import truncate
+
 #: Unicode white space, which trimming takes off.
 _WHITE = r"[\t\n\x0B\f\r \x85\xA0  -     　]+"
 
@@ -58,8 +60,16 @@ def stable_key(findings: DataFrame) -> DataFrame:
 
 def log_groups(findings: DataFrame) -> DataFrame:
     """What a log shows: (type, value, source) with count and the value cut to 35 bytes."""
-    short = F.when(F.octet_length("value") <= 35, F.col("value")).otherwise(F.concat(F.substring("value", 1, 32), F.lit("...")))
-    return findings.groupBy("type", "value", "source_url").agg(F.count("*").alias("n")).withColumn("shown", short)
+    return findings.groupBy("type", "value", "source_url").agg(F.count("*").alias("n")).withColumn("shown", truncate(F.col("value"), 35))
+
+
+def log_lines(findings: DataFrame) -> DataFrame:
+    """``type, value, source_url, line``: a log line for each (type, value, source), with the mark of its risk."""
+    groups = findings.groupBy("type", "value", "source_url").agg(F.count("*").alias("n"), F.min("risk").alias("risk"))
+    mark = F.when(F.col("risk") == "informative", "[INFO-RISK]").when(F.col("risk") == "low", "[LOW]").when(F.col("risk") == "high", "[HIGH]").otherwise("[MEDIUM]")
+    times = F.when(F.col("n") > 1, F.concat(F.col("n").cast("string"), F.lit("x "))).otherwise("")
+    line = F.concat(mark, F.lit(" Found "), times, "type", F.lit(": "), truncate(F.col("value"), 35), F.lit("... in "), "source_url")
+    return groups.select("type", "value", "source_url", line.alias("line"))
 
 
 def scan_stats(docs: DataFrame, findings: DataFrame) -> DataFrame:

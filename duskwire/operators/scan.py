@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duskwire.functions import heuristics as H
-from duskwire.functions.dialect import to_java
+from duskwire.functions.dialect import groups, to_java
 from duskwire.functions.risk import risk_of
 from duskwire.operators.engine import evaluate
 from duskwire.sources.catalog import Pattern, java_regex
@@ -96,29 +96,42 @@ def candidates(docs: DataFrame, patterns: list[Pattern], dialect: str = "local",
     ids = candidate_ids(patterns, F.col("content")) if prefilter else F.array(*[F.lit(i) for i in range(len(patterns))])
     catalog = docs.sparkSession.createDataFrame(prepared(patterns), CATALOG)
     near = rows.withColumn("id", F.explode(ids))
-    if len(patterns) == 1:  # a literal regex is compiled once and keeps the scan in generated code
+    if len(patterns) == 1:
         near = near.where(F.rlike("content", F.lit(java_regex(patterns[0]))))
-        regex = F.lit(java_regex(patterns[0]))
-    else:
-        regex = F.col("p_regex")
-    near = near.join(F.broadcast(catalog), "id")
-    whole, group = F.regexp_extract_all("content", regex, F.lit(0)), F.regexp_extract_all("content", regex, F.lit(1))
-    if dialect == "matches":
-        values = F.array_distinct(F.concat(F.filter(group, lambda x: x != ""), whole))
-    else:
-        values = F.zip_with(whole, group, lambda w, g: F.when(g != "", g).otherwise(w))
-    found = near.withColumn("value", F.explode(values)).withColumn("window", H.context_window(F.col("content"), F.col("value")))
+    # All that needs the text is worked out before the matches become rows, so no row carries it further.
+    found = near.select("source_url", "id", F.explode(H.located(F.col("content"), F.expr(_values(patterns, dialect)), dialect != "remote")).alias("at"), *(["content"] if dialect == "matches" else []))
+    found = found.select("source_url", "id", "at.value", "at.window", "at.line", F.col("content" if dialect == "matches" else "at.window").alias("context"))
     n = F.octet_length("value")
     outside = H.has_code_pattern(F.col("value")) | H.is_file_path(F.col("value")) | H.is_content_type(F.col("value"))
     if dialect == "remote":
-        found = found.where(n.between(5, 200) & ~outside).withColumn("line", F.lit(0))
-    else:
-        found = found.withColumn("line", H.line_number(F.col("content"), F.col("value")))
+        found = found.where(n.between(5, 200) & ~outside)
     if dialect == "matches":
-        found = found.where(n.between(4, 500) & ~outside & ~H.any_in(F.col("value"), UNWANTED)).withColumn("context", F.col("content"))
-    else:
-        found = found.withColumn("context", F.col("window"))
-    return found.drop("content", "id", "p_regex")
+        found = found.where(n.between(4, 500) & ~outside & ~H.any_in(F.col("value"), UNWANTED))
+    catalog = docs.sparkSession.createDataFrame(prepared(patterns), CATALOG).drop("p_regex")
+    return found.join(F.broadcast(catalog), "id").drop("id")
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _values(patterns: list[Pattern], dialect: str) -> str:
+    """SQL of the values that pattern ``id`` gives in ``content``, in one pass of its regex where groups allow.
+
+    Each regex is a literal of its own branch, and so is compiled once in a task.
+    """
+    branches = []
+    for i, p in enumerate(patterns):
+        regex = _literal(java_regex(p))
+        group, whole = f"regexp_extract_all(content, {regex}, 1)", f"regexp_extract_all(content, {regex}, 0)"
+        if dialect == "matches":
+            own = f"array_distinct(concat(filter({group}, x -> x <> ''), {whole}))"
+        elif groups(p.regex):
+            own = f"element_at(transform(array({group}), g -> if(exists(g, x -> x = ''), zip_with({whole}, g, (w, x) -> if(x <> '', x, w)), g)), 1)"
+        else:
+            own = group
+        branches.append(f"WHEN {i} THEN {own}")
+    return f"CASE id {' '.join(branches)} END"
 
 
 def score_candidates(docs: DataFrame, patterns: list[Pattern], dialect: str = "local", prefilter: bool = True) -> DataFrame:
@@ -140,10 +153,18 @@ def scan(docs: DataFrame, patterns: list[Pattern], dialect: str = "local", prefi
 
 
 def scan_distinct(docs: DataFrame, patterns: list[Pattern], dialect: str = "local") -> DataFrame:
-    """As ``scan``, but equal contents are scanned once and the findings joined back to all their sources."""
+    """As ``scan``, but equal contents are scanned once and the findings joined back to all their sources.
+
+    Only sources and hashes are shuffled: a hash's first source stands for it, and the
+    texts of those sources are picked by a join on (source, hash), which no group of
+    copies shares. The findings then meet all sources on the hash; both sides of that
+    join are dealt out anew, so adaptive execution can split a hash that many share.
+    """
     keyed = docs.select("source_url", "content").where("content is not null").withColumn("key", F.sha2("content", 256))
     if dialect == "remote":
         keyed = keyed.where(~F.rlike(F.lower(F.coalesce("source_url", F.lit(""))), F.lit(SKIPPED_SUFFIXES)))
-    once = keyed.groupBy("key").agg(F.first("content").alias("content")).select(F.col("key").alias("source_url"), "content")
-    found = scan(once, patterns, dialect).withColumnRenamed("source_url", "key")
+    names = F.coalesce("source_url", F.lit(""))
+    first = keyed.groupBy("key").agg(F.min(names).alias("name"))
+    picked = keyed.withColumn("name", names).join(first, ["key", "name"], "left_semi").dropDuplicates(["key", "name"])
+    found = scan(picked.select(F.col("key").alias("source_url"), "content"), patterns, dialect).withColumnRenamed("source_url", "key")
     return found.join(keyed.select("key", "source_url"), "key").select(*FINDING)

@@ -147,12 +147,15 @@ def score_pages_urls(spark, d):
 
 #: The whole catalog but ``IPIFY``, which the query names beside it.
 ENABLED = catalog.select(p for p in BUILTIN.values() if p != IPIFY)[0]
-ALL_TEXTS_SQL = f"{DOCUMENTS_SQL} UNION ALL {PAGES_SQL} UNION ALL {order_sql(MIXED)}"
+TALK, ITEM = "concat('conversations/', conv_id, '/', turn)", "concat('benchmark/', item_id)"
+ALL_TEXTS_SQL = f"{DOCUMENTS_SQL} UNION ALL {PAGES_SQL} UNION ALL {order_sql(MIXED)} UNION ALL SELECT {TALK}, text FROM conversations UNION ALL SELECT {ITEM}, text FROM benchmark"
 
 
 @query("scan_catalog_all_texts", S.scan_sql(ALL_TEXTS_SQL, [*ENABLED, IPIFY]))
 def scan_catalog_all_texts(spark, d):
-    texts = documents(spark, d).unionByName(pages(spark, d)).unionByName(order_texts(spark, d, MIXED))
+    talk = table(spark, d, "conversations").select(F.expr(TALK).alias("source_url"), F.col("text").alias("content"))
+    items = table(spark, d, "benchmark").select(F.expr(ITEM).alias("source_url"), F.col("text").alias("content"))
+    texts = documents(spark, d).unionByName(pages(spark, d)).unionByName(order_texts(spark, d, MIXED)).unionByName(talk).unionByName(items)
     return scan(texts, [*ENABLED, IPIFY])
 
 
@@ -399,7 +402,7 @@ def response_texts(spark, d):
 
 # ---- the rest of the library
 
-from duskwire.plans import library_queries  # noqa: E402
+from duskwire.plans import library_queries, more_queries  # noqa: E402
 
-QUERIES |= library_queries.QUERIES
-ORACLES |= library_queries.ORACLES
+QUERIES |= library_queries.QUERIES | more_queries.QUERIES
+ORACLES |= library_queries.ORACLES | more_queries.ORACLES

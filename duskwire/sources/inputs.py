@@ -125,21 +125,59 @@ def has_binary_extension(path: Column) -> Column:
     return F.rlike(F.lower(path), F.lit(rf"\.(?:{'|'.join(BINARY_EXTENSIONS)})\z"))
 
 
+def _apart(spark: SparkSession, paths: str | list[str], recursive: bool) -> list[str]:
+    """``paths`` with patterns resolved, each once and none inside another, so that a listing gives no file twice."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    found = []
+    for path in [paths] if isinstance(paths, str) else paths:
+        target = hadoop.Path(path)
+        held = target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target)
+        found += [s.getPath().toString() for s in held] if held else [path]
+    names = sorted({x.rstrip("/") for x in found})
+    inside = (lambda x, y: x.startswith(f"{y}/")) if recursive else (lambda x, y: x.rpartition("/")[0] == y)
+    return [x for x in names if not any(inside(x, y) for y in names)]
+
+
 def read_files(spark: SparkSession, paths: str | list[str], max_mb: float = 0, recursive: bool = True) -> DataFrame:
     """``source_url, content, size_bytes`` of the text files under ``paths``.
 
     The size limit is a predicate on ``length`` and is pushed to the file listing, so a
-    larger file is never read. Binary files, by ending or by their first 512 bytes, are
-    left out, and empty ones may be: they hold nothing. 0 or less means no limit.
+    larger file is never read. Paths given twice, or inside another, count once; that is
+    settled before anything is read, so no content is shuffled. Binary files, by ending
+    or by their first 512 bytes, are left out, and empty ones may be: they hold nothing.
+    0 or less means no limit.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(paths)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(_apart(spark, paths, recursive))
     if max_mb > 0:
         files = files.where(F.col("length") <= int(max_mb * 1024 * 1024))
-    text = files.where(~has_binary_extension(F.col("path")) & ~is_binary(F.col("content"))).dropDuplicates(["path"])
+    text = files.where(~has_binary_extension(F.col("path")) & ~is_binary(F.col("content")))
     bare = F.regexp_replace("path", r"^file:/*", "/")
     return text.select(F.concat(F.lit("file://"), bare).alias("source_url"), F.col("content").cast("string").alias("content"), F.col("length").alias("size_bytes"))
 
 
+def url_or_path(line: Column) -> Column:
+    """``looks_like_url_or_path`` of a column."""
+    parts = F.split(line, r"\.", -1)
+    dotted = (F.size(parts) >= 2) & ~F.rlike(line, F.lit(r"[\t\n\x0B\f\r \x85\xA0]")) & (F.octet_length(F.element_at(parts, -1)) >= 2)
+    return any_in(line, ["/", "\\"]) | dotted
+
+
+def code_line(line: Column) -> Column:
+    """``looks_like_code`` of a column."""
+    return any_in(line, CODE_MARKS)
+
+
+def url_list(name: Column, text: Column) -> Column:
+    """``is_url_list`` of columns: a file's name and its text."""
+    lines = F.filter(F.transform(F.split(text, "\n", -1), lambda x: F.regexp_replace(x, r"\A[\t\n\x0B\f\r ]+|[\t\n\x0B\f\r ]+\z", "")), lambda x: (x != "") & ~F.startswith(x, F.lit("#")))
+    ending = F.lower(F.regexp_extract(name, r"(\.[^./]*)\z", 1))
+    like = lambda k: F.size(F.filter(F.slice(lines, 1, k), url_or_path))
+    n = F.size(lines)
+    plain = F.when((n < 10) & F.exists(lines, code_line), False).otherwise(like(10) >= F.least(F.lit(5), F.floor(n / 2)))
+    other = (n > 5) & (like(5) >= F.least(F.lit(3), F.floor(n / 2)))
+    return F.when((n == 0) | ending.isin(CONTENT_EXTENSIONS), False).when(ending.isin(LIST_EXTENSIONS), True).when(ending == ".txt", plain).otherwise(other)
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Trimmed lines of a text file, without blanks and comments."""
     line = F.trim("value")

@@ -54,6 +54,26 @@ def json_records(deduped: DataFrame) -> DataFrame:
     return deduped.select("source_url", "type", "value", F.to_json(item).alias("record"))
 
 
+def json_groups(deduped: DataFrame) -> DataFrame:
+    """``source_url, n, records``: a JSON array of the findings of each source, in order of type and value."""
+    items = json_records(deduped).groupBy("source_url").agg(F.array_sort(F.collect_list(F.struct("type", "value", "record"))).alias("items"))
+    return items.select("source_url", F.size("items").alias("n"), F.concat(F.lit("["), F.array_join(F.transform("items", lambda x: x["record"]), ","), F.lit("]")).alias("records"))
+
+
+def raw_lines(findings: DataFrame, kind: str = "txt", group: bool = False) -> DataFrame:
+    """``source_url, value, line``: what a raw report says of each deduplicated value; of grouped JSON, ``source_url, line``, one array a source."""
+    rows = raw_values(findings, by_source=True)
+    if kind == "json" and group:
+        return rows.groupBy("source_url").agg(F.to_json(F.array_sort(F.collect_list("value"))).alias("line"))
+    if kind == "json":
+        line = F.regexp_extract(F.to_json(F.array("value")), r"(?s)\A\[(.*)\]\z", 1)
+    elif kind == "csv":
+        line = F.concat(_quoted(F.col("source_url")), F.lit(","), _quoted(F.col("value"))) if group else _quoted(F.col("value"))
+    else:
+        line = F.concat(F.lit("\t"), "value") if group else F.col("value")
+    return rows.select("source_url", "value", line.alias("line"))
+
+
 def _objects(rows, keep_source: bool = True) -> list[dict]:
     out = []
     for r in rows:

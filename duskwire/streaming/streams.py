@@ -9,6 +9,7 @@ from datetime import timedelta
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from duskwire.operators.domains import BLOCK_SECONDS, DISCARD_AT, RATE_LIMITED
@@ -39,11 +40,19 @@ def first_seen(findings: DataFrame, time_col: str, within: str = "1 hour") -> Da
 
 
 STATE = "strikes int, discarded boolean"
+#: A blocked domain is open again long before this.
+IDLE_SECONDS = 3600
 EVENTS = "domain string, ts timestamp, action string, until timestamp"
 
 
 def backoff_step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Block a domain at its first 429, discard it at the next unless a fetch succeeded between."""
+    """Block a domain at its first 429, discard it at the next unless a fetch succeeded between.
+
+    A domain that nothing was fetched from for ``IDLE_SECONDS`` loses its state, unless it is discarded."""
+    if state.hasTimedOut:
+        if not state.get[1]:
+            state.remove()
+        return
     strikes, discarded = state.get if state.exists else (0, False)
     rows = sorted((ts, int(s)) for b in batches for ts, s in zip(b["ts"], b["status"], strict=True))
     out = []
@@ -58,21 +67,72 @@ def backoff_step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState)
             until = None if discarded else ts + timedelta(seconds=BLOCK_SECONDS)
             out.append((key[0], ts, "discard" if discarded else "block", until))
     state.update((strikes, discarded))
+    state.setTimeoutDuration(IDLE_SECONDS * 1000)
     yield pd.DataFrame(out, columns=["domain", "ts", "action", "until"]).astype({"until": "datetime64[ns]", "ts": "datetime64[ns]"})
 
 
 def backoff_stream(fetches: DataFrame) -> DataFrame:
     """Block and discard actions for a stream of ``domain, ts, status``; two numbers of state a domain."""
-    return fetches.groupBy("domain").applyInPandasWithState(backoff_step, EVENTS, STATE, "append", GroupStateTimeout.NoTimeout)
+    return fetches.groupBy("domain").applyInPandasWithState(backoff_step, EVENTS, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+class Progress(StreamingQueryListener):
+    """What streams have read so far: ``rows``, and a line for each trigger through ``show``."""
+
+    def __init__(self, show=print):
+        self.rows, self.show = 0, show
+
+    def onQueryStarted(self, event):
+        self.show(f"stream {event.name or event.id} started")
+
+    def onQueryProgress(self, event):
+        p = event.progress
+        self.rows += p.numInputRows
+        self.show(f"stream {p.name or p.id}: batch {p.batchId}, {p.numInputRows} rows, {self.rows} so far, {p.processedRowsPerSecond:.0f} a second")
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        self.show(f"stream {event.id} ended")
+
+
+def start(stream: DataFrame, path: str, every: str | None = None, mode: str = "append"):
+    """Start a stream into the folder ``path``: over what there is and then stop, or anew ``every`` so often until stopped."""
+    when = {"processingTime": every} if every else {"availableNow": True}
+    return stream.writeStream.format("parquet").outputMode(mode).option("path", f"{path}/rows").option("checkpointLocation", f"{path}/progress").trigger(**when).start()
 
 
-def run_to_table(stream: DataFrame) -> DataFrame:
+NO_DATA = "spark.sql.streaming.noDataMicroBatches.enabled"
+
+
+def run_to_table(stream: DataFrame, timers: bool = False) -> DataFrame:
     """Run an append stream over what its source holds now, and read back what it wrote.
 
     Output and progress go to the shared folder, so the run survives lost executors.
+    ``timers`` is for a stream whose states time out by the clock: such a stream asks
+    for batches without data for ever, so here it gets none.
     """
     spark = stream.sparkSession
     base = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
-    run = stream.writeStream.format("parquet").outputMode("append").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start()
+    was = spark.conf.get(NO_DATA)
+    if timers:
+        spark.conf.set(NO_DATA, "false")
+    try:
+        run = start(stream, base)
+    finally:
+        spark.conf.set(NO_DATA, was)
     run.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
+
+
+def run_counts(stream: DataFrame) -> DataFrame:
+    """Run an aggregate stream over what its source holds now; each batch's table replaces the one before."""
+    spark = stream.sparkSession
+    base = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{base}/rows")
+
+    stream.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/rows")
