@@ -3,14 +3,14 @@
 What the base patterns match are seed entities. The words to the left of a seed induce
 lexical patterns (the last word, and the last two). Patterns and the instances they
 precede form a graph; a pattern's confidence is the mean confidence of its distinct
-instances, an unseeded instance's is that of its patterns together, and a few rounds
+instances, an unseeded instance's is the largest of its patterns', and a few rounds
 of this settle both. Patterns of high confidence then mark identifiers that no base
-pattern knows. All of it is DataFrame expressions.
+pattern knows, if they have the makings of the kind. All of it is DataFrame expressions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duskwire.llm.common import broadcast_if_small, staged
@@ -25,8 +25,12 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-#: Whole tokens with a digit or an @: what an unseen identifier looks like.
-TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+#: Whole tokens with a digit or an @, with the digit groups that follow after single spaces: what an unseen identifier looks like.
+TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+(?:\x20\(?[0-9][0-9().-]*+(?![^\x20\x09-\x0D,;:!?]))*+"
+#: What a discovered identifier of a kind must have: its shape, and the fewest and most digits.
+MAKINGS = {"email": ("@", 0, 64), "ip": (r"^[0-9A-Fa-f]+(?:[.:][0-9A-Fa-f]*){2,}$", 2, 32), "card": ("[0-9]", 12, 19), "phone": ("[0-9]", 7, 15)}
+#: Code points of a piece that a text is cut into before spans are replaced.
+PIECE = 4096
 LEFT_CHARS = 80
 #: Rounds over the graph; a pattern is sure from this confidence and so many distinct seeds on.
 ROUNDS, CONFIDENT, SUPPORT = 3, 0.8, 3
@@ -129,6 +133,15 @@ def _identifier(v: Column) -> Column:
     return (F.length(_digits(v)) >= 4) | (F.contains(v, F.lit("@")) & (F.length(v) >= 6))
 
 
+def _plausible(k: Column, v: Column) -> Column:
+    """Whether a token has the makings of kind number ``k``."""
+    out = F.lit(False)
+    for i, kind in enumerate(KINDS):
+        shape, least, most = MAKINGS[kind]
+        out = F.when(k == i, F.rlike(v, F.lit(shape)) & F.length(_digits(v)).between(least, most)).otherwise(out)
+    return out
+
+
 def _contexts(left: Column) -> Column:
     """Lexical patterns of what stands to the left: its last word and its last two; those with digits induce none."""
     w = F.array_remove(F.split(F.lower(left), r"[\x20\x09-\x0D]+"), "")
@@ -156,7 +169,7 @@ def score_patterns(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, sup
 
 
 def discovered(first: DataFrame, confident: float = CONFIDENT, support: int = SUPPORT, rounds: int = ROUNDS) -> DataFrame:
-    """``doc_id, copy, k, start, end``: identifiers that sure patterns mark and no base span overlaps."""
+    """``doc_id, copy, k, start, end``: identifiers that sure patterns mark, that have the makings of the kind, and that no base span overlaps."""
     base = None
     for k, kind in enumerate(KINDS):
         part = first.select("doc_id", "copy", F.lit(k).alias("k"), F.explode(kind).alias("s"))
@@ -168,7 +181,7 @@ def discovered(first: DataFrame, confident: float = CONFIDENT, support: int = SU
     edges = linked(base).unionByName(linked(token)).distinct()
     seeds = base.select("value", F.col("k").alias("kind")).distinct()
     sure = score_patterns(edges, seeds, rounds, support).where(F.col("confidence") >= confident)
-    marked = token.withColumn("pattern", F.explode(_contexts(F.col("left")))).join(sure, "pattern")
+    marked = token.withColumn("pattern", F.explode(_contexts(F.col("left")))).join(sure, "pattern").where(_plausible(F.col("kind"), F.col("value")))
     best = marked.groupBy("doc_id", "copy", "start", "end").agg(F.max(F.struct("confidence", (-F.col("kind")).alias("k"))).alias("m")).select("doc_id", "copy", (-F.col("m.k")).alias("k"), "start", "end")
     b = base.select(F.col("doc_id").alias("bd"), F.col("copy").alias("bc"), F.col("start").alias("bs"), F.col("end").alias("be"))
     over = best.doc_id.eqNullSafe(b.bd) & best.copy.eqNullSafe(b.bc) & (best.start < b.be) & (b.bs < best.end)
@@ -212,16 +225,35 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
     Overlapping spans become one, named by the first. Texts without spans, null texts
     and all other columns stay as they are; rows stay one for one.
     """
-    found = staged(find_pii(docs, id_col, text_col, **options).where(F.size("spans") > 0).select("doc_id", "copy", "spans").distinct(), "spans")
-    step = lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] > s["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.element_at(acc, -1)["k"].alias("k"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(s)))
-    merged = F.aggregate("spans", F.array().cast("array<struct<start:int,k:int,end:int>>"), step)
-    f = found.select(F.col("doc_id").alias("fd"), F.col("copy").alias("fc"), merged.alias("cuts"))
-    f = broadcast_if_small(f)
+    found = staged(find_pii(docs, id_col, text_col, **options).where(F.size("spans") > 0).select(F.col("doc_id").alias("fd"), F.col("copy").alias("fc"), "spans").distinct(), "spans")
+    f = broadcast_if_small(staged(_merged(found), "cuts"))
     both = docs.join(f, docs[id_col].eqNullSafe(f.fd) & F.xxhash64(docs[text_col]).eqNullSafe(f.fc), "left")
-    text = docs[text_col]
+    text, cuts = docs[text_col], f["cuts"]
+    return both.select(*[(F.when(cuts.isNull(), text).otherwise(_replaced(text, cuts)).alias(c) if c == text_col else docs[c]) for c in docs.columns])
+
+
+def _merged(found: DataFrame) -> DataFrame:
+    """``fd, fc, cuts``: spans that overlap made one, named by the first. Spans are rows here and no text is, so a text of many costs in proportion."""
+    order = Window.partitionBy("fd", "fc").orderBy("start", "k", "end")
+    upto = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = found.select("fd", "fc", F.explode("spans").alias("s")).select("fd", "fc", "s.*").withColumn("new", F.when(F.col("start") < upto, 0).otherwise(1))
+    rows = rows.withColumn("nth", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    one = rows.groupBy("fd", "fc", "nth").agg(F.min(F.struct("start", "k")).alias("first"), F.max("end").alias("end"))
+    return one.groupBy("fd", "fc").agg(F.array_sort(F.collect_list(F.struct("first.start", "first.k", "end"))).alias("cuts"))
+
+
+def _replaced(text: Column, cuts: Column) -> Column:
+    """``text`` with each cut's kind in brackets in its place; pieces of ``PIECE`` code points are looked into and never the text from its start."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    cuts = f["cuts"]
-    last = F.element_at(cuts, -1)["end"]
-    pieces = F.transform(cuts, lambda c, i: _let(F.when(i == 0, F.lit(0)).otherwise(F.get(cuts, i - 1)["end"]), lambda p: F.concat(F.substring(text, p + 1, c["start"] - p), F.element_at(names, c["k"] + 1))))
-    new = F.concat(F.array_join(pieces, ""), F.substring(text, last + 1, F.length(text)))
-    return both.select(*[(F.when(cuts.isNull(), text).otherwise(new).alias(c) if c == text_col else docs[c]) for c in docs.columns])
+
+    def put(pieces):
+        def part(start, end):
+            first = F.floor(start / PIECE).cast("int")
+            some = F.array_join(F.slice(pieces, first + 1, F.floor((end - 1) / PIECE).cast("int") - first + 1), "")
+            return F.when(end > start, F.substring(some, start % PIECE + 1, end - start)).otherwise("")
+
+        before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(cuts, i - 1)["end"])
+        kept = F.transform(cuts, lambda c, i: _let(before(i), lambda p: F.concat(part(p, c["start"]), F.element_at(names, c["k"] + 1))))
+        return F.concat(F.array_join(kept, ""), part(F.element_at(cuts, -1)["end"], F.char_length(text)))
+
+    return _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), put)

@@ -67,7 +67,7 @@ def bootstrapped(spark):
     """Contexts that introduce seeds, and the same contexts before identifiers that no base pattern knows."""
     rows = [(k, f"note {k} write to mail: person{k}@host{k}.org today") for k in range(60)]
     rows += [(k, f"please call tel: +1 555 000 {1000 + k} soon, order number {70000 + k} is out") for k in range(60, 120)]
-    rows += [(200, "an unseen one, mail: someone@localhost77, here"), (201, "and call tel: 5550001999 now"), (202, "order number 71999 is in"), (203, "é\U0001f600 mail: someone@localhost78")]
+    rows += [(200, "an unseen one, mail: someone@localhost77, here"), (201, "and call tel: 5550001999 now"), (202, "order number 71999 is in"), (203, "é\U0001f600 mail: someone@localhost78"), (204, "and call tel: 555 123 4567, today"), (205, "the tel: 2024 model"), (206, "a mail: box77 number")]
     return spark.createDataFrame(rows, "doc_id long, text string")
 
 
@@ -76,6 +76,8 @@ def test_sure_contexts_find_unseen_identifiers(bootstrapped):
     assert got[200] == "email:21:40" and got[203] == "email:9:28"
     assert got[201] == "phone:14:24"
     assert got[202] == ""
+    assert got[204] == "phone:14:26"  # groups of digits are one identifier
+    assert got[205] == got[206] == ""  # not what a telephone number or an address can be
 
 
 def test_base_spans_stay(bootstrapped):
@@ -116,3 +118,14 @@ def test_graph_scores(spark):
     first = 3 / 5
     assert (r.pattern, r.kind) == ("p", 0) and r.confidence == pytest.approx((3 + first) / 5)
     assert pii.score_patterns(edges.limit(0), seeds.where(F.lit(False))).collect() == []
+
+
+def test_a_long_text_of_many_spans(spark):
+    """Pieces, and spans over their edges; 20,000 addresses in one text."""
+    text = " ".join(f"x\U0001f600{'y' * (k % 50)} a{k}@b{k}.org" for k in range(20_000))
+    other = "z" * (pii.PIECE - 4) + " ab@cd.ef " + "w" * (2 * pii.PIECE) + " 10.0.0.1"
+    docs = spark.createDataFrame([(1, text), (2, other), (3, "10.0.0.1"), (4, "q" * pii.PIECE + "@b.c")], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert out[1] == " ".join(f"x\U0001f600{'y' * (k % 50)} [EMAIL]" for k in range(20_000))
+    assert out[2] == "z" * (pii.PIECE - 4) + " [EMAIL] " + "w" * (2 * pii.PIECE) + " [IP]"
+    assert out[3] == "[IP]" and out[4] == "[EMAIL]"
