@@ -155,9 +155,9 @@ def scan(docs: DataFrame, patterns: list[Pattern], dialect: str = "local", prefi
 def scan_distinct(docs: DataFrame, patterns: list[Pattern], dialect: str = "local") -> DataFrame:
     """As ``scan``, but equal contents are scanned once and the findings joined back to all their sources.
 
-    Only sources and hashes are shuffled: a hash's first source stands for it, and the
-    texts of those sources are picked by a join on (source, hash), which no group of
-    copies shares. The findings then meet all sources on the hash; both sides of that
+    Sources and hashes alone find the first source of a hash, which stands for it. The
+    texts of those sources are picked by a join on (source, hash), a key that no group
+    of copies shares. The findings then meet all sources on the hash; both sides of that
     join are dealt out anew, so adaptive execution can split a hash that many share.
     """
     keyed = docs.select("source_url", "content").where("content is not null").withColumn("key", F.sha2("content", 256))

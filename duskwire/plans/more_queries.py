@@ -191,7 +191,7 @@ FROM f JOIN e USING (domain) WHERE status = 429 AND (ended IS NULL OR (ts, statu
 def stream_backoff(spark, d):
     status = F.expr("CASE WHEN event_type = 'error' THEN 429 WHEN event_id % 11 = 0 THEN 404 WHEN event_id % 13 = 0 THEN 503 ELSE 200 END")
     rows = _stream(spark, d, "events").select(F.expr("concat('host', event_id % 3001, '.test')").alias("domain"), "ts", status.alias("status"))
-    return streams.run_to_table(streams.backoff_stream(rows), timers=True)
+    return streams.run_to_table(streams.backoff_stream(rows))
 
 
 # ---- rate limits

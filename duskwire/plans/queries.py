@@ -148,10 +148,10 @@ def score_pages_urls(spark, d):
 #: The whole catalog but ``IPIFY``, which the query names beside it.
 ENABLED = catalog.select(p for p in BUILTIN.values() if p != IPIFY)[0]
 TALK, ITEM = "concat('conversations/', conv_id, '/', turn)", "concat('benchmark/', item_id)"
-ALL_TEXTS_SQL = f"{DOCUMENTS_SQL} UNION ALL {PAGES_SQL} UNION ALL {order_sql(MIXED)} UNION ALL SELECT {TALK}, text FROM conversations UNION ALL SELECT {ITEM}, text FROM benchmark"
 
 
-@query("scan_catalog_all_texts", S.scan_sql(ALL_TEXTS_SQL, [*ENABLED, IPIFY]))
+# Without SQL: 543 patterns make 16 MB of it, too much for whole tables. ``tests/test_whole_catalog.py`` holds the scan against that SQL, some patterns at a time, on a small fixture.
+@query("scan_catalog_all_texts")
 def scan_catalog_all_texts(spark, d):
     talk = table(spark, d, "conversations").select(F.expr(TALK).alias("source_url"), F.col("text").alias("content"))
     items = table(spark, d, "benchmark").select(F.expr(ITEM).alias("source_url"), F.col("text").alias("content"))

@@ -40,15 +40,11 @@ def first_seen(findings: DataFrame, time_col: str, within: str = "1 hour") -> Da
 
 
 STATE = "strikes int, discarded boolean"
-#: A blocked domain is open again long before this.
-IDLE_SECONDS = 3600
 EVENTS = "domain string, ts timestamp, action string, until timestamp"
 
 
-def backoff_step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Block a domain at its first 429, discard it at the next unless a fetch succeeded between.
-
-    A domain that nothing was fetched from for ``IDLE_SECONDS`` loses its state, unless it is discarded."""
+def backoff_step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, idle_seconds: int | None = None) -> Iterator[pd.DataFrame]:
+    """Block a domain at its first 429, discard it at the next unless a fetch succeeded between."""
     if state.hasTimedOut:
         if not state.get[1]:
             state.remove()
@@ -67,13 +63,24 @@ def backoff_step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState)
             until = None if discarded else ts + timedelta(seconds=BLOCK_SECONDS)
             out.append((key[0], ts, "discard" if discarded else "block", until))
     state.update((strikes, discarded))
-    state.setTimeoutDuration(IDLE_SECONDS * 1000)
+    if idle_seconds is not None:
+        state.setTimeoutDuration(idle_seconds * 1000)
     yield pd.DataFrame(out, columns=["domain", "ts", "action", "until"]).astype({"until": "datetime64[ns]", "ts": "datetime64[ns]"})
 
 
-def backoff_stream(fetches: DataFrame) -> DataFrame:
-    """Block and discard actions for a stream of ``domain, ts, status``; two numbers of state a domain."""
-    return fetches.groupBy("domain").applyInPandasWithState(backoff_step, EVENTS, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+def backoff_stream(fetches: DataFrame, idle_seconds: int | None = None) -> DataFrame:
+    """Block and discard actions for a stream of ``domain, ts, status``; two numbers of state a domain.
+
+    A domain that nothing was fetched from for ``idle_seconds`` by the clock loses its
+    state, unless it is discarded; None keeps all states. A stream with such a clock
+    never runs out of batches: trigger it by time, or see ``run_to_table``.
+    """
+    timeout = GroupStateTimeout.NoTimeout if idle_seconds is None else GroupStateTimeout.ProcessingTimeTimeout
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        yield from backoff_step(key, batches, state, idle_seconds)
+
+    return fetches.groupBy("domain").applyInPandasWithState(step, EVENTS, STATE, "append", timeout)
 
 
 class Progress(StreamingQueryListener):

@@ -111,6 +111,16 @@ def test_buckets_against_brute_force_and_as_a_stream(spark, tmp_path, fixed):
     assert {(r.domain, r.seq): (r.allowed, r.rate) for r in streams.run_to_table(stream, timers=True).collect()} == have
 
 
+def test_states_that_time_out_give_the_same_actions(spark, tmp_path):
+    rows = [("a", datetime(2024, 1, 1, 0, 0, k), 429 if k in (1, 5, 6, 8) else 200) for k in range(10)] + [("b", datetime(2024, 1, 1), 429)]
+    df = spark.createDataFrame(rows, "domain string, ts timestamp, status int").coalesce(1)
+    df.write.parquet(str(tmp_path / "in"))
+    made = lambda idle: streams.backoff_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), idle)
+    plain = sorted(map(tuple, streams.run_to_table(made(None)).collect()), key=str)
+    assert [(r[0], r[2]) for r in plain] == [("a", "block"), ("a", "block"), ("a", "discard"), ("b", "block")]
+    assert sorted(map(tuple, streams.run_to_table(made(600), timers=True).collect()), key=str) == plain
+
+
 def test_settings(tmp_path):
     path = str(tmp_path / "deep" / "settings.yaml")
     assert config.load(path) == config.Settings()

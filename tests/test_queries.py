@@ -27,7 +27,7 @@ def con(sf_dir):
     return c
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_is_its_sql(spark, sf_dir, con, name):
     df = queries.QUERIES[name](spark, sf_dir)
     names = sorted(df.columns)
@@ -45,7 +45,8 @@ def test_entry(spark):
 
 
 def test_all_queries_have_sql_or_a_reason():
-    assert queries.QUERIES.keys() == queries.ORACLES.keys()
+    # The whole catalog as SQL is too slow on whole tables; tests/test_whole_catalog.py has it on a fixture.
+    assert queries.QUERIES.keys() - queries.ORACLES.keys() == {"scan_catalog_all_texts"} and queries.ORACLES.keys() <= queries.QUERIES.keys()
     assert queries.QUERIES.keys() <= entry.queries().keys()
 
 

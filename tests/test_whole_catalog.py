@@ -36,3 +36,28 @@ def test_keys_of_services_are_found(spark):
     docs = spark.createDataFrame(rows, "source_url string, content string")
     found = {(r.source_url, r.type) for r in scan(docs, catalog.select(BY_NAME.values())[0]).collect()}
     assert {(n, n) for n, _ in rows} <= found
+
+
+def test_the_whole_catalog_against_its_sql(spark, tmp_path):
+    """What every enabled pattern finds in texts made for some of them and in plain ones, against SQL of some patterns at a time."""
+    import duckdb
+
+    from duskwire.plans import reference_sql as S
+    from tests.test_queries import plain
+
+    key = "9f3b7c1e5a8d2460b7e9c3f1a5d80264"
+    enabled = catalog.select(BY_NAME.values())[0]
+    texts = [f"{p.literals[0]} = \"{key}\" and {p.literals[0]}: {key}{key[:8].upper()}" for p in enabled[::12] if p.literals]
+    texts += ["plain words", "see https://a.test/x?y=1 or mail joe@corp.org", f"AKIA{key[:16].upper()}", f'token: "ghp_{key}abcd"', "é" * 30 + f" secret_key = '{key}'"]
+    rows = [(f"t{k}", t) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "source_url string, content string")
+    # The SQL writes a question mark for each byte of a character that isn't ASCII.
+    flat = lambda v: "".join(c if c.isascii() else "?" * len(c.encode()) for c in v) if isinstance(v, str) else plain(v)
+    have = sorted((tuple(map(flat, r)) for r in scan(docs, enabled).collect()), key=str)
+    con = duckdb.connect()
+    con.execute("create table texts(source_url varchar, content varchar)")
+    con.executemany("insert into texts values (?, ?)", rows)
+    want = []
+    for k in range(0, len(enabled), 12):
+        want += [tuple(map(flat, r)) for r in con.execute(S.scan_sql("SELECT * FROM texts", enabled[k : k + 12])).fetchall()]
+    assert have == sorted(want, key=str) and len({r[0] for r in have}) > 40
