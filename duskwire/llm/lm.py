@@ -37,11 +37,11 @@ from duskwire.llm.common import staged
 
 #: Words in an n-gram, the strength of the shorter history, and tokens in a block and in a reducer's range.
 ORDER, MU = 3, 40.0
-BLOCK_TOKENS, RANGE_TOKENS = 1 << 21, 3_000_000
+BLOCK_TOKENS, RANGE_TOKENS = 1 << 20, 3_000_000
 #: Training occurrences from which a history of two words or more is a state.
 STATE_COUNT = 2
 #: Tokens of a piece of a text; pieces are read in step with each other.
-PIECE_TOKENS = 2048
+PIECE_TOKENS = 512
 #: The end of a text, which is also what its first word follows. No word is empty.
 END = xxhash.xxh64_intdigest(b"")
 
@@ -356,7 +356,10 @@ def _score(order: int, n: int, v: int, mu: float):
         c1 = counts[0][block.at[0]].astype(np.float64)
         base = np.add.reduceat(np.log10((c1 + 1) / (n + v + 1)), block.starts)
         known = np.add.reduceat((c1 > 0).astype(np.int64), block.starts)
-        score = Automaton(block, counts, n, v, mu).read(block)
+        automaton = Automaton(block, counts, n, v, mu)
+        del counts, c1, told
+        block.flat = block.grams = None
+        score = automaton.read(block)
         ids = pd.array([None if x is None or x != x else int(x) for x in block.ids], dtype="Int64")
         return pd.DataFrame({"doc_id": ids, "held_out": block.held, "n_tokens": block.n_tokens, "n_known": known, "train_tokens": n, "base_score": base, "score": score})
 
