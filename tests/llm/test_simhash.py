@@ -132,3 +132,29 @@ def test_kept_ids_on_documents(documents):
     comp = simhash.simhash_components(documents)
     assert {r.doc_id for r in simhash.deduplicate(documents).collect()} == {r.component_id for r in comp.select("component_id").distinct().collect()}
     assert comp.where(F.col("component_id") > F.col("doc_id")).count() == 0
+
+
+@pytest.mark.parametrize("bound", [None, (0, 0)])
+def test_components_of_a_hub_and_chains(spark, monkeypatch, bound):
+    """A node with most edges, chains, cycles and repeats; minima broadcast, and joined by a shuffle."""
+    from duskwire.llm import common
+
+    if bound:
+        monkeypatch.setattr(common.broadcast_if_small, "__defaults__", bound)
+    edges = [(0, k) for k in range(1, 800)] + [(1000 + k, 1001 + k) for k in range(40)] + [(2000, 2001), (2001, 2002), (2002, 2000), (2001, 2000), (5, 5), (-7, 2002)]
+    have = dict(map(tuple, common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    want = {k: 0 for k in range(800)} | {1000 + k: 1000 for k in range(41)} | {k: -7 for k in (-7, 2000, 2001, 2002)}
+    assert have == want
+    assert common.connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_staged_tables_can_be_deleted(spark, documents):
+    import os
+
+    from duskwire.llm import common
+
+    rows = common.staged(documents.select("doc_id"), "x")
+    (path,) = {f.rsplit("/", 1)[0].removeprefix("file://") for f in rows.inputFiles()}
+    assert os.path.isdir(path)
+    common._drop(rows)
+    assert not os.path.isdir(path) and os.path.isdir(common._own_dir(spark))
