@@ -13,12 +13,26 @@ WORD_BREAK = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Bytes and rows of a batch between the JVM and Python. Spark's own bounds, 64 MB and 10,000, are held several times
+#: over for each running task, beside the heap.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+_USUAL = {"spark.sql.execution.arrow.maxBytesPerBatch": "67108864b", "spark.sql.execution.arrow.maxRecordsPerBatch": "10000"}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the batches of this session, unless it has bounds of its own."""
+    for key, value in SMALL_BATCHES.items():
+        if spark.conf.get(key, _USUAL[key]) in (_USUAL[key], "67108864", "64m", "64MB"):
+            spark.conf.set(key, value)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
 
     Only where the session names none and runs on one machine, as in a test, one is
     made here; on a cluster that is an error.
     """
+    small_batches(spark)
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
