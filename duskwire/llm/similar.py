@@ -1,13 +1,22 @@
-"""Near copies by the Jaccard similarity of their five-word shingles, for the pipeline.
+"""Near copies by SimHash and the Jaccard similarity of five-word shingles, for the pipeline.
 
-MinHash bands propose, the shingles decide: documents that share one of ``BANDS`` keys of
-``ROWS`` minima each are compared by all their shingles. A pair at similarity s shares a
-key with probability 1 - (1 - s**4)**20: 0.99997 at 0.8, and more above.
+SimHash proposes, the shingles decide. At the similarity asked for, 64 bits are too few: two
+texts differ in ten of them, and no index on bytes reaches that. So a fingerprint has many
+words, and posting lists are kept per *two* of its positional bytes, ``LISTS`` disjoint pairs.
+Two texts with an angle of t between their sets share a bit with probability p = 1 - t / pi,
+so they meet in some list with probability 1 - (1 - p**16)**LISTS: at a similarity of 0.8
+p is 0.85, and 7e-5 of such pairs meet in none. Whoever meets in a list is verified by the
+differing bits of the ``CHECKS`` words that no list is of: ``NEAR_BITS`` of 128 are more than
+four standard deviations from a near pair's 19 and from the 64 of texts that have nothing in
+common. Sets of a few shingles can be as similar at p = 13/16 (four and five shingles): those
+up to ``SMALL`` have more lists among themselves, ``SMALL_LISTS`` in all, in which more bits
+may differ. What a list so links is a *bucket*; its documents are then compared by all their
+shingles.
 
 The comparisons are dealt out so that no group of documents meets in one task. First the
-documents of a key are compared with one of them, its lead; where many share a lead, it
-is copied to several tasks. That settles a key whose documents are near copies of each
-other. In the others, the documents outside the key's largest group so far are compared
+documents of a bucket are compared with one of them, its lead; where many share a lead, it
+is copied to several tasks. That settles a bucket whose documents are near copies of each
+other. In the others, the documents outside the bucket's largest group so far are compared
 with that group and with each other, in tiles of two bounded chunks.
 """
 
@@ -20,20 +29,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duskwire.llm.common import broadcast_if_small, connected_components, staged
-from duskwire.llm.simhash import keep_first
+from duskwire.llm.simhash import _LANES, _popcount, keep_first
 
 SEED, WIDTH = 42, 5
 #: Least similarity of near copies, as a fraction.
 NUM, DEN = 4, 5
-BANDS, ROWS = 20, 4
-#: Shingles that are hashed at once, and rows in a batch that goes back.
-CHUNK, BATCH = 4096, 500
+#: Posting lists of a set of shingles, the words of its fingerprint that no list is of, its first, and how many bits of those may differ.
+LISTS, CHECKS, NEAR_BITS = 128, 2, 38
+#: The same for sets of few shingles: up to how many, their lists in all, and the bits in the lists that only they have.
+SMALL, SMALL_LISTS, SMALL_BITS = 7, 448, 48
+#: Shingles that are mixed at once, rows in a batch that goes back, and fingerprints of a list that are compared shift by shift.
+CHUNK, BATCH, SHORT = 4080, 500, 256
 #: Sets that are compared with one copy of a lead, and sets and shingles of a chunk.
 FAN, TILE_SETS, TILE_SHINGLES = 1024, 256, 1 << 18
 _RNG = np.random.default_rng(SEED)
-_MUL = _RNG.integers(0, 2**64, (BANDS * ROWS, 1), np.uint64) | np.uint64(1)
-_ADD = _RNG.integers(0, 2**64, (BANDS * ROWS, 1), np.uint64)
-_MIX = _RNG.integers(0, 2**64, (BANDS, ROWS), np.uint64) | np.uint64(1)
+_MUL = _RNG.integers(0, 2**64, (CHECKS + SMALL_LISTS // 4, 1), np.uint64) | np.uint64(1)
+_ADD = _RNG.integers(0, 2**64, (CHECKS + SMALL_LISTS // 4, 1), np.uint64)
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -50,14 +61,22 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(np.fromiter((digest(flat[a:b], SEED) for a, b in zip((ends - sizes)[:n].tolist(), ends[k - 1 :].tolist(), strict=True)), np.uint64, n))
 
 
-def band_keys(h: np.ndarray) -> np.ndarray:
-    """A key for each band; none for a text without words."""
-    if not len(h):
-        return np.empty(0, np.uint64)
-    least = np.minimum.reduce([(h[i : i + CHUNK] * _MUL + _ADD).min(axis=1) for i in range(0, len(h), CHUNK)])
-    key = (least.reshape(BANDS, ROWS) * _MIX).sum(axis=1, dtype=np.uint64)
-    key ^= key >> np.uint64(32)
-    return key * _MUL[:BANDS, 0] + _ADD[:BANDS, 0]
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def fingerprint(h: np.ndarray) -> np.ndarray:
+    """SimHash of a set of shingles in many words, each by hashes mixed anew: a bit is 1 if set in over half of them."""
+    words = CHECKS + (LISTS if len(h) > SMALL else SMALL_LISTS) // 4
+    votes = np.zeros((8, words, 8), np.int64)
+    for at in range(0, len(h), CHUNK):
+        x = _mix(h[at : at + CHUNK] * _MUL[:words] + _ADD[:words])
+        cuts = np.arange(0, x.shape[1], 255)
+        for bit in range(8):
+            lanes = np.add.reduceat((x >> np.uint64(bit)) & _LANES, cuts, axis=1)
+            votes[bit] += np.ascontiguousarray(lanes.astype("<u8")).view(np.uint8).reshape(words, -1, 8).sum(axis=1, dtype=np.int64)
+    return np.packbits(2 * votes > len(h), axis=0, bitorder="little").reshape(words, 8).view("<u8").reshape(words)
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -71,7 +90,7 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``rid, doc_id, copy, fp, keys, size, shingles`` of every row; ``fp`` is a hash of the set, ``rid`` tells rows apart."""
+    """``rid, doc_id, copy, fp, simhash, size, shingles`` of every row; ``fp`` is a hash of the set, ``rid`` tells rows apart."""
 
     def run(batches):
         for batch in batches:
@@ -79,15 +98,110 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 b = batch.slice(at, BATCH)
                 sets = [shingles(t) for t in b.column(2).to_pylist()]
                 fp = np.fromiter((xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets), np.uint64, len(sets))
-                keys = pa.array([band_keys(h).view(np.int64) for h in sets], pa.list_(pa.int64()))
+                wide = pa.array([fingerprint(h).tobytes() for h in sets], pa.binary())
                 size = np.fromiter(map(len, sets), np.int32, len(sets))
                 flat = pa.array(np.concatenate(sets).view(np.int64)) if sets else pa.array([], pa.int64())
                 held = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), flat)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(fp.view(np.int64)), keys, pa.array(size), held], names=["rid", "doc_id", "copy", "fp", "keys", "size", "shingles"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(fp.view(np.int64)), wide, pa.array(size), held], names=["rid", "doc_id", "copy", "fp", "simhash", "size", "shingles"])
 
     narrow = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("copy"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"rid long, doc_id {kind}, copy long, fp long, keys array<long>, size int, shingles array<long>")
+    return narrow.mapInArrow(run, f"rid long, doc_id {kind}, copy long, fp long, simhash binary, size int, shingles array<long>")
+
+
+def _postings(batches):
+    """A row of ``key, fp, x, y`` for each list of ``fp, simhash``; a key is a pair of positions with its two bytes, ``x, y`` are the check words."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BATCH):
+            b = batch.slice(at, BATCH)
+            raw, fp = b.column(1).to_pylist(), b.column(0).to_numpy(zero_copy_only=False)
+            for size in set(map(len, raw)):
+                own = [k for k, r in enumerate(raw) if len(r) == size]
+                wide = np.frombuffer(b"".join(raw[k] for k in own), "<u8").reshape(len(own), -1)
+                pairs = np.ascontiguousarray(wide[:, CHECKS:]).view("<u2").astype(np.int32)
+                n = pairs.shape[1]
+                keys = pairs | (np.arange(n, dtype=np.int32) << np.int32(16))
+                x, y = (np.repeat(wide[:, k].view(np.int64), n) for k in range(CHECKS))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(fp[own], n)), pa.array(x), pa.array(y)], names=["key", "fp", "x", "y"])
+
+
+def _near(x: np.ndarray, y: np.ndarray, bits: np.ndarray, i, j) -> np.ndarray:
+    return _popcount(x[i] ^ x[j]) + _popcount(y[i] ^ y[j]) <= bits[i]
+
+
+def _settle(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest number that the links ``i, j`` reach from each."""
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        for at in (i, j, label[i], label[j]):
+            np.minimum.at(new, at, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def list_buckets(keys: np.ndarray, fps: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``key, fp, lead, n`` of the buckets of some posting lists: ``keys`` ascending, ``fps`` distinct within a key.
+
+    A bucket is what differing bits link within a list, two documents or more. Its
+    key is a hash of its documents, so that equal buckets of several lists are one.
+    All pairs of a list are looked at, save those of a long one that are linked already.
+    """
+    at, bits = np.arange(len(keys)), np.where(keys >> 16 < LISTS, NEAR_BITS, SMALL_BITS)
+    cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else at
+    size = np.diff(np.append(cut, len(keys)))
+    end, label = np.repeat(cut + size, size), at.copy()
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    rows, shift = at[np.repeat(size <= SHORT, size)], 1
+    while len(rows := rows[rows + shift < end[rows]]):
+        hit = rows[_near(x, y, bits, rows, rows + shift)]
+        left.append(hit)
+        right.append(hit + shift)
+        shift += 1
+    label = _settle(label, np.concatenate(left), np.concatenate(right))
+    for s, n in zip(cut[size > SHORT].tolist(), size[size > SHORT].tolist(), strict=True):
+        others = np.arange(s, s + n)
+        while len(others):
+            first, others = others[0], others[1:]
+            front = [first]
+            while front and len(others):
+                hit = _near(x, y, bits, front.pop(), others)
+                label[others[hit]] = first
+                front.extend(others[hit].tolist())
+                others = others[~hit]
+    order = np.lexsort((fps, label))
+    label, fps = label[order], fps[order]
+    cut = np.flatnonzero(np.concatenate([[True], label[1:] != label[:-1]])) if len(label) else order
+    n = np.diff(np.append(cut, len(label)))
+    key = np.add.reduceat(_mix(_mix(fps.view(np.uint64) * _MUL[0] + _ADD[0])), cut).view(np.int64) if len(cut) else fps
+    several = np.repeat(n > 1, n)
+    return np.repeat(key, n)[several], fps[several], np.repeat(fps[cut], n)[several], np.repeat(n, n)[several]
+
+
+def _buckets(batches):
+    """Rows come sorted by key; a list that goes on in the next batch is carried over."""
+    kept = [np.empty(0, np.int32), *[np.empty(0, np.int64)] * 3]
+
+    def close(columns):
+        k, fp, x, y = columns
+        made = list_buckets(k, fp, x.view(np.uint64), y.view(np.uint64))
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in made], names=["key", "fp", "lead", "n"])
+
+    for batch in batches:
+        now = [np.concatenate([a, batch.column(c).to_numpy(zero_copy_only=False)]) for c, a in enumerate(kept)]
+        cut = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
+        kept = [a[cut:] for a in now]
+        if cut:
+            yield close([a[:cut] for a in now])
+    yield close(kept)
+
+
+def buckets(sets: DataFrame) -> DataFrame:
+    """``key, fp, lead, n``: the documents of each bucket of distinct ``sets(fp, simhash)``, its least ``fp`` and how many they are."""
+    rows = sets.select("fp", "simhash").mapInArrow(_postings, "key int, fp long, x long, y long")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_buckets, "key long, fp long, lead long, n long").distinct()
 
 
 def lead_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -128,7 +242,7 @@ def _tiled(rows: pa.Table) -> pa.Table:
 
 
 def tile_links(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """``a, b``: links between components of ``members(key, fp, size, comp)`` that share a key.
+    """``a, b``: links between components of ``members(key, fp, size, comp)`` that share a bucket, by its key.
 
     A key's *crowd* is the component with most of its members, the others are its
     *rest*. Both are cut into chunks of some ``TILE_SETS`` sets and ``TILE_SHINGLES``
@@ -152,7 +266,7 @@ def tile_links(members: DataFrame, sets: DataFrame) -> DataFrame:
         F.transform(upto("rests"), lambda k: tile(1, F.least("chunk", k), F.greatest("chunk", k), F.col("chunk") <= k, F.col("chunk") >= k)),
     )
     dealt = rows.withColumn("chunk", chunk).withColumn("tile", F.explode(F.when(inside, of_crowd).otherwise(of_rest)))
-    met = dealt.select("key", "tile.kind", "tile.i", "tile.j", "tile.left", "tile.right", "comp", "fp").join(sets, "fp")
+    met = dealt.select("key", "tile.kind", "tile.i", "tile.j", "tile.left", "tile.right", "comp", "fp").join(sets.select("fp", "shingles"), "fp")
     return met.groupBy("key", "kind", "i", "j").applyInArrow(_tiled, "a long, b long")
 
 
@@ -160,21 +274,22 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """``docs`` with one row of each group of near copies, as ``simhash.keep_first`` picks it.
 
     Texts link at a similarity of 0.8 or more; groups are what is reachable. Equal sets, those of
-    blank texts too, are collapsed before the search, and every pair that shares a key is compared
+    blank texts too, are collapsed before the search, and every pair that shares a bucket is compared
     or already joined by others. All columns stay; an empty table gives no rows.
     """
     rows = staged(shingle_sets(docs, id_col, text_col), "shingles")
     groups = staged(rows.groupBy("fp").agg(F.min("rid").alias("rid")), "sets")
-    keyed = rows.join(broadcast_if_small(groups.select("rid")), "rid", "left_semi").select("fp", "size", F.explode("keys").alias("key"))
-    leads = staged(keyed.groupBy("key").agg(F.min("fp").alias("lead"), F.count("*").alias("n")).where("n > 1").select("key", "lead"), "leads")
-    members = staged(keyed.join(broadcast_if_small(leads), "key"), "members")
+    apart = rows.where("size > 0").join(broadcast_if_small(groups.select("rid")), "rid", "left_semi")
+    members = staged(buckets(apart), "members")
     chosen = groups.join(members.select("fp").distinct(), "fp", "left_semi").select("rid")
-    sets = staged(rows.join(broadcast_if_small(staged(chosen, "chosen")), "rid", "left_semi").select("fp", "shingles"), "chosen_sets")
+    sets = staged(rows.join(broadcast_if_small(staged(chosen, "chosen")), "rid", "left_semi").select("fp", "size", "shingles"), "chosen_sets")
     pairs = staged(members.where("fp <> lead").select("fp", "lead").distinct(), "pairs")
     first = staged(connected_components(lead_links(pairs, sets)), "first_components")
     of = broadcast_if_small(first)
     comp = F.coalesce("component", "fp")
-    open_ = members.join(of, members.fp == of.node, "left").select("key", "fp", "size", comp.alias("comp"))
+    # The two documents of a bucket of two have been compared.
+    more = members.where("n > 2").join(broadcast_if_small(sets.select("fp", "size")), "fp")
+    open_ = more.join(of, more.fp == of.node, "left").select("key", "fp", "size", comp.alias("comp"))
     then = staged(connected_components(tile_links(staged(open_, "open_members"), sets)).toDF("comp", "root"), "components")
     named = groups.join(of, groups.fp == of.node, "left").select("fp", comp.alias("comp"))
     roots = named.join(broadcast_if_small(then), "comp", "left").select("fp", F.coalesce("root", "comp").alias("root"))

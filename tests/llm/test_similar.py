@@ -5,6 +5,8 @@ from itertools import combinations
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from duskwire.llm import similar
 
@@ -103,3 +105,76 @@ def test_a_hub_is_dealt_over_tasks(spark):
     rows = [(k, " ".join([*words[: k % 200], f"x{k}", *words[k % 200 + 1 :]])) for k in range(2500)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert [r.doc_id for r in similar.deduplicate(docs).collect()] == [0]
+
+
+def plain_simhash(h):
+    """Bit by bit, with Python's integers."""
+    out = []
+    for mul, add in zip(similar._MUL[:, 0].tolist(), similar._ADD[:, 0].tolist(), strict=True):
+        mixed = []
+        for v in h.tolist():
+            v = (v * mul + add) % 2**64
+            v = (v ^ (v >> 32)) * 0xD6E8FEB86659FD93 % 2**64
+            mixed.append(v ^ (v >> 32))
+        out.append(sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in mixed) > len(mixed)))
+    return out
+
+
+@pytest.mark.parametrize("n", [1, 4, 7, 8, 255, 256, 5000])
+def test_fingerprints_bit_by_bit(n):
+    h = np.unique(np.random.default_rng(n).integers(0, 2**64, n, np.uint64))
+    have = similar.fingerprint(h).tolist()
+    assert len(have) == similar.CHECKS + (112 if n <= 7 else 32) and have == plain_simhash(h)[: len(have)]
+
+
+def plain_buckets(rows):
+    """Sets of what the check words link within a list, by all pairs."""
+    at, out = defaultdict(list), set()
+    for fp, wide in rows:
+        raw = wide[similar.CHECKS :].tobytes()
+        for k in range(0, len(raw), 2):
+            at[k, raw[k : k + 2]].append((fp, wide[: similar.CHECKS].tolist()))
+    for (k, _), docs in at.items():
+        bits = similar.NEAR_BITS if k < 2 * similar.LISTS else similar.SMALL_BITS
+        label = list(range(len(docs)))
+        for i, j in combinations(range(len(docs)), 2):
+            if sum((a ^ b).bit_count() for a, b in zip(docs[i][1], docs[j][1], strict=True)) <= bits:
+                label = [label[i] if x == label[j] else x for x in label]
+        out |= {s for s in (frozenset(d[0] for d, x in zip(docs, label, strict=True) if x == one) for one in label) if len(s) > 1}
+    return out
+
+
+@pytest.mark.parametrize("short", [2, 256])
+def test_the_stage_searches_by_simhash(spark, monkeypatch, short):
+    """The buckets that the pipeline compares are those of the fingerprints' byte lists, in long lists and short ones."""
+    seen = []
+    whole = similar.buckets
+    monkeypatch.setattr(similar, "buckets", lambda sets: seen.append(sets) or whole(sets))
+    rows, _ = planted()
+    docs = spark.createDataFrame([*rows, (900, None), (901, "few words"), (902, "few  words"), (903, "a b c d e f g h"), (904, "a b c d e f g h i")], "doc_id long, text string")
+    assert len(corpus_pipeline.keep_one(spark, docs, "").collect()) < len(rows)
+    sets = [(r.fp, np.frombuffer(r.simhash, np.uint64)) for r in seen[0].collect()]
+    assert len(sets) == len({fp for fp, _ in sets}) == len({frozenset(plain_shingles(t)) for _, t in rows}) + 3
+    want = plain_buckets(sets)
+    assert len(want) > 100
+    columns = zip(*sorted((r.key, r.fp, r.x, r.y) for r in pa.Table.from_batches(similar._postings([pa.RecordBatch.from_pylist([{"fp": fp, "simhash": w.tobytes()} for fp, w in sets])])).to_pandas().itertuples()), strict=True)
+    keys, fps, x, y = (np.array(c, np.int64) for c in columns)
+    monkeypatch.setattr(similar, "SHORT", short)
+    for made in (zip(*similar.list_buckets(keys, fps, x.view(np.uint64), y.view(np.uint64)), strict=True), map(tuple, whole(seen[0]).collect())):
+        have = defaultdict(set)
+        for key, fp, lead, n in made:
+            have[key, lead, n].add(fp)
+        assert all(min(s) == lead and len(s) == n for (_, lead, n), s in have.items())
+        assert {frozenset(s) for s in have.values()} == want and len(have) == len(want)
+
+
+@pytest.mark.parametrize(("a", "b", "both"), [(4, 5, 4), (5, 6, 5), (6, 7, 6), (7, 8, 7), (8, 10, 8), (9, 9, 8), (80, 100, 80), (90, 90, 80)])
+def test_lists_reach_the_similarity(a, b, both):
+    """Pairs just similar enough: nearly all meet in a list and pass the check."""
+    rng = np.random.default_rng(a)
+    lost = 0
+    for _ in range(1000):
+        h = rng.integers(0, 2**64, a + b - both, np.uint64)
+        sets = [(k, similar.fingerprint(np.sort(x))) for k, x in enumerate((h[:a], h[a - both :]))]
+        lost += not plain_buckets(sets)
+    assert lost <= 1
