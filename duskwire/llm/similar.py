@@ -10,14 +10,22 @@ differing bits of the ``CHECKS`` words that no list is of: ``NEAR_BITS`` of 128
 four standard deviations from a near pair's 19 and from the 64 of texts that have nothing in
 common. Sets of a few shingles can be as similar at p = 13/16 (four and five shingles): those
 up to ``SMALL`` have more lists among themselves, ``SMALL_LISTS`` in all, in which more bits
-may differ. What a list so links is a *bucket*; its documents are then compared by all their
-shingles.
-
-The comparisons are dealt out so that no group of documents meets in one task. First the
-documents of a bucket are compared with one of them, its lead; where many share a lead, it
-is copied to several tasks. That settles a bucket whose documents are near copies of each
-other. In the others, the documents outside the bucket's largest group so far are compared
-with that group and with each other, in tiles of two bounded chunks.
+may differ. What a list so links is a *bucket*.
+
+A near copy meets its like in many lists, each time in a somewhat different bucket, and
+shingles are forty times the size of a bucket's row. So no shingles are moved for a bucket.
+The buckets' documents are first compared by their *wide* fingerprints, all the words that
+any two have in common: of 2176 bits a pair at 0.8 differs in 330, or 410 in sets of four
+and five shingles, with a deviation of 18, and ``WIDE_BITS`` and ``SMALL_WIDE_BITS`` are
+five deviations beyond that. What they link, directly or through others, is a *cluster*: a document is in
+one cluster only, and all near copies that share a bucket are in the same one. Only the
+documents of clusters have their shingles made once more, and compared.
+
+The comparisons are dealt out so that no group of documents meets in one task. First each
+document is compared with one other, its lead; where many share a lead, it is copied to
+several tasks. That settles most buckets, and of the clusters those whose documents are near
+copies of each other. In the others, the documents outside the largest group so far are
+compared with that group and with each other, in tiles of two bounded chunks.
 """
 
 from __future__ import annotations
@@ -38,6 +46,8 @@ NUM, DEN = 4, 5
 LISTS, CHECKS, NEAR_BITS = 128, 2, 38
 #: The same for sets of few shingles: up to how many, their lists in all, and the bits in the lists that only they have.
 SMALL, SMALL_LISTS, SMALL_BITS = 7, 448, 48
+#: Words of the wide fingerprints, and how many bits of them may differ; the latter if a set of the pair has few shingles.
+WIDE, WIDE_BITS, SMALL_WIDE_BITS = CHECKS + LISTS // 4, 440, 500
 #: Shingles that are mixed at once, rows in a batch that goes back, and fingerprints of a list that are compared shift by shift.
 CHUNK, BATCH, SHORT = 4080, 500, 256
 #: Sets that are compared with one copy of a lead, and sets and shingles of a chunk.
@@ -89,24 +99,48 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return DEN * both >= NUM * (len(a) + len(b) - both)
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``rid, doc_id, copy, fp, simhash, size, shingles`` of every row; ``fp`` is a hash of the set, ``rid`` tells rows apart."""
+def _fp(h: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(h.tobytes(), SEED)
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``rid, doc_id, copy, fp, simhash, size`` of every row; ``fp`` is a hash of the set of shingles, ``rid`` tells rows apart."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 b = batch.slice(at, BATCH)
                 sets = [shingles(t) for t in b.column(2).to_pylist()]
-                fp = np.fromiter((xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets), np.uint64, len(sets))
-                wide = pa.array([fingerprint(h).tobytes() for h in sets], pa.binary())
+                fp = np.fromiter(map(_fp, sets), np.uint64, len(sets))
+                words = pa.array([fingerprint(h).tobytes() for h in sets], pa.binary())
                 size = np.fromiter(map(len, sets), np.int32, len(sets))
-                flat = pa.array(np.concatenate(sets).view(np.int64)) if sets else pa.array([], pa.int64())
-                held = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), flat)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(fp.view(np.int64)), wide, pa.array(size), held], names=["rid", "doc_id", "copy", "fp", "simhash", "size", "shingles"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(fp.view(np.int64)), words, pa.array(size)], names=["rid", "doc_id", "copy", "fp", "simhash", "size"])
 
     narrow = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("copy"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"rid long, doc_id {kind}, copy long, fp long, simhash binary, size int, shingles array<long>")
+    return narrow.mapInArrow(run, f"rid long, doc_id {kind}, copy long, fp long, simhash binary, size int")
+
+
+def shingle_sets(docs: DataFrame, some: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``fp, shingles`` of the rows of ``docs`` that ``some(doc_id, copy)`` names; one row of each ``fp``."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH):
+                b = batch.slice(at, BATCH)
+                sets = [shingles(t) for t in b.column(1).to_pylist()]
+                fp = np.fromiter(map(_fp, sets), np.uint64, len(sets))
+                flat = pa.array(np.concatenate(sets).view(np.int64)) if sets else pa.array([], pa.int64())
+                held = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32)), flat)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), held], names=["rid", "fp", "shingles"])
+
+    named = some.toDF("_id", "_copy")
+    rows = docs.join(broadcast_if_small(named), docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_copy")), "left_semi")
+    rows = rows.select(F.monotonically_increasing_id().alias("rid"), F.col(text_col).alias("text"))
+    made = staged(rows.mapInArrow(run, "rid long, fp long, shingles array<long>"), "chosen_sets")
+    # Rows that are repeated, id and text, come back as often.
+    once = staged(made.groupBy("fp").agg(F.min("rid").alias("rid")), "once")
+    return made.join(broadcast_if_small(once.select("rid")), "rid", "left_semi").select("fp", "shingles")
 
 
 def _postings(batches):
@@ -204,24 +238,56 @@ def buckets(sets: DataFrame) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_buckets, "key long, fp long, lead long, n long").distinct()
 
 
-def lead_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``a, b``: those of ``pairs(fp, lead)`` that are alike; a lead of many pairs is copied, once for each ``FAN`` of them."""
+def wide_sets(sets: DataFrame) -> DataFrame:
+    """``fp, size, wide``: the words of ``sets(fp, size, simhash)`` that fingerprints of all sizes have."""
+
+    def run(batches):
+        for b in batches:
+            words = np.frombuffer(b"".join(r[: 8 * WIDE] for r in b.column(2).to_pylist()), np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * WIDE), pa.array(words))], names=["fp", "size", "wide"])
+
+    return sets.select("fp", "size", "simhash").mapInArrow(run, "fp long, size int, wide array<long>")
+
+
+def _with_leads(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``fp, lead, x, y``: ``pairs(fp, lead)`` with the structs ``of`` of ``sets(fp, of)``; a lead of many pairs is copied, once for each ``FAN`` of them."""
     fans = staged(pairs.groupBy("lead").agg(F.ceil(F.count("*") / FAN).cast("int").alias("fans")), "fans")
     few = broadcast_if_small(fans)
-    own = pairs.join(few, "lead").select("fp", "lead", F.pmod(F.hash("fp"), F.col("fans")).alias("fan")).join(sets.select("fp", F.col("shingles").alias("x")), "fp")
-    other = sets.join(few, sets.fp == few.lead).select("lead", F.explode(F.sequence(F.lit(0), F.col("fans") - 1)).alias("fan"), F.col("shingles").alias("y"))
-    n, m, both = F.size("x"), F.size("y"), F.size(F.array_intersect("x", "y"))
-    sized = own.join(other, ["lead", "fan"]).where((DEN * n >= NUM * m) & (DEN * m >= NUM * n))
+    own = pairs.join(few, "lead").select("fp", "lead", F.pmod(F.hash("fp"), F.col("fans")).alias("fan")).join(sets.select("fp", F.col("of").alias("x")), "fp")
+    other = sets.join(few, sets.fp == few.lead).select("lead", F.explode(F.sequence(F.lit(0), F.col("fans") - 1)).alias("fan"), F.col("of").alias("y"))
+    return own.join(other, ["lead", "fan"])
+
+
+def near_leads(pairs: DataFrame, wide: DataFrame) -> DataFrame:
+    """``a, b``: those of ``pairs(fp, lead)`` whose wide fingerprints are near."""
+    bits = F.aggregate(F.zip_with("x.wide", "y.wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
+    most = F.when(F.least("x.size", "y.size") <= SMALL, SMALL_WIDE_BITS).otherwise(WIDE_BITS)
+    return _with_leads(pairs, wide.select("fp", F.struct("size", "wide").alias("of"))).where(bits <= most).select(F.col("fp").alias("a"), F.col("lead").alias("b"))
+
+
+def lead_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b``: those of ``pairs(fp, lead)`` that are alike."""
+    n, m, both = F.size("x.shingles"), F.size("y.shingles"), F.size(F.array_intersect("x.shingles", "y.shingles"))
+    sized = _with_leads(pairs, sets.select("fp", F.struct("shingles").alias("of"))).where((DEN * n >= NUM * m) & (DEN * m >= NUM * n))
     return sized.where((DEN + NUM) * both >= NUM * (n + m)).select(F.col("fp").alias("a"), F.col("lead").alias("b"))
 
 
+def _lists(column: pa.ChunkedArray) -> tuple[list, list, np.ndarray]:
+    """Where each row's list starts and ends, and the values of all, without a copy."""
+    flat = column.combine_chunks()
+    cuts = flat.offsets.to_numpy()
+    return cuts[:-1].tolist(), cuts[1:].tolist(), flat.values.to_numpy().view(np.uint64)
+
+
 def _tiled(rows: pa.Table) -> pa.Table:
-    """``a, b``, components that a pair of one tile links. A tile's rows are ``left`` or ``right`` of it, or both."""
-    comps, left, right = (rows.column(c).to_pylist() for c in ("comp", "left", "right"))
-    # A view of each set, without a copy.
-    flat = rows.column("shingles").combine_chunks()
-    cuts, values = flat.offsets.to_numpy(), flat.values.to_numpy().view(np.uint64)
-    sets = [np.sort(values[s:e]) for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+    """``a, b``, components that a pair of one tile links: by wide fingerprints and, where the rows have them, by shingles.
+
+    A tile's rows are ``left`` or ``right`` of it, or both."""
+    comps, left = (rows.column(c).to_pylist() for c in ("comp", "left"))
+    right, size = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("right", "size"))
+    starts, ends, words = _lists(rows.column("wide"))
+    wide, few = words[starts[0] : ends[-1]].reshape(-1, WIDE), size <= SMALL
+    sets = [np.sort(v[s:e]) for starts, ends, v in [_lists(rows.column("shingles"))] for s, e in zip(starts, ends, strict=True)] if "shingles" in rows.column_names else None
     parent = {c: c for c in comps}
 
     def root(c):
@@ -232,42 +298,107 @@ def _tiled(rows: pa.Table) -> pa.Table:
 
     found = []
     for i in (i for i, at in enumerate(left) if at):
-        for j in (j for j, at in enumerate(right) if at):
+        near = np.bitwise_count(wide[i] ^ wide).sum(axis=1) <= np.where(few | few[i], SMALL_WIDE_BITS, WIDE_BITS)
+        for j in np.flatnonzero(near & right).tolist():
             a, b = root(comps[i]), root(comps[j])
-            if a != b and alike(sets[i], sets[j]):
+            if a != b and (sets is None or alike(sets[i], sets[j])):
                 parent[max(a, b)] = min(a, b)
                 found.append((comps[i], comps[j]))
     a, b = zip(*found, strict=True) if found else ((), ())
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def tile_links(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """``a, b``: links between components of ``members(key, fp, size, comp)`` that share a bucket, by its key.
+def _deal(rows: DataFrame) -> DataFrame:
+    """``key, kind, i, j, left, right, comp, fp``: tiles of ``rows(key, fp, comp, inside, crowds, rests, among)``.
 
-    A key's *crowd* is the component with most of its members, the others are its
-    *rest*. Both are cut into chunks of some ``TILE_SETS`` sets and ``TILE_SHINGLES``
-    shingles; every chunk of the rest meets every chunk of the crowd and of the rest,
-    and no two chunks of the crowd meet.
+    Those ``inside`` a key's crowd are cut into ``crowds`` chunks, the others into
+    ``rests``. Every chunk of the others meets every chunk of the crowd, which may be
+    empty, and where ``among`` is true every chunk of the others.
     """
-    parts = lambda n, w: F.greatest(F.lit(1), F.ceil(n / TILE_SETS), F.ceil(w / TILE_SHINGLES)).cast("int")
-    counts = members.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("size").alias("w"))
-    crowd = F.max(F.struct("n", "comp", "w")).alias("crowd")
-    keys = counts.groupBy("key").agg(crowd, F.sum("n").alias("n"), F.sum("w").alias("w"), F.count("*").alias("comps")).where("comps > 1")
-    keys = staged(keys.select("key", F.col("crowd.comp").alias("top"), parts(F.col("crowd.n"), F.col("crowd.w")).alias("crowds"), parts(F.col("n") - F.col("crowd.n"), F.col("w") - F.col("crowd.w")).alias("rests")), "open_keys")
-    rows = members.join(broadcast_if_small(keys), "key")
-    inside = F.col("comp") == F.col("top")
+    inside = F.col("inside")
     chunk = F.pmod(F.hash("fp"), F.when(inside, F.col("crowds")).otherwise(F.col("rests")))
-    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    upto = lambda n: F.sequence(F.lit(0), F.greatest(F.lit(0), F.col(n) - 1))
     tile = lambda kind, i, j, left, right: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), left.alias("left"), right.alias("right"))
     yes, no = F.lit(True), F.lit(False)
     of_crowd = F.transform(upto("rests"), lambda j: tile(0, F.col("chunk"), j, yes, no))
-    of_rest = F.concat(
-        F.transform(upto("crowds"), lambda i: tile(0, i, F.col("chunk"), no, yes)),
-        F.transform(upto("rests"), lambda k: tile(1, F.least("chunk", k), F.greatest("chunk", k), F.col("chunk") <= k, F.col("chunk") >= k)),
-    )
+    with_crowd = F.transform(upto("crowds"), lambda i: tile(0, i, F.col("chunk"), no, yes))
+    with_rest = F.transform(upto("rests"), lambda k: tile(1, F.least("chunk", k), F.greatest("chunk", k), F.col("chunk") <= k, F.col("chunk") >= k))
+    of_rest = F.concat(F.slice(with_crowd, 1, F.col("crowds")), F.slice(with_rest, 1, F.when(F.col("among"), F.col("rests")).otherwise(0)))
     dealt = rows.withColumn("chunk", chunk).withColumn("tile", F.explode(F.when(inside, of_crowd).otherwise(of_rest)))
-    met = dealt.select("key", "tile.kind", "tile.i", "tile.j", "tile.left", "tile.right", "comp", "fp").join(sets.select("fp", "shingles"), "fp")
-    return met.groupBy("key", "kind", "i", "j").applyInArrow(_tiled, "a long, b long")
+    return dealt.select("key", "tile.kind", "tile.i", "tile.j", "tile.left", "tile.right", "comp", "fp")
+
+
+def _tile_links(dealt: DataFrame, *sets: DataFrame) -> DataFrame:
+    for each in sets:
+        dealt = dealt.join(each, "fp")
+    return dealt.groupBy("key", "kind", "i", "j").applyInArrow(_tiled, "a long, b long")
+
+
+def _chunks(n, shingles=None):
+    return F.greatest(F.lit(1), F.ceil(n / TILE_SETS), *([] if shingles is None else [F.ceil(shingles / TILE_SHINGLES)])).cast("int")
+
+
+def tile_links(members: DataFrame, wide: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b``: links between components of ``members(key, fp, size, comp)`` that have the same key.
+
+    A key's *crowd* is the component with most of its members, the others are its
+    *rest*. Both are cut into chunks of some ``TILE_SETS`` sets and ``TILE_SHINGLES``
+    shingles, and no two chunks of the crowd meet.
+    """
+    counts = members.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("size").alias("w"))
+    crowd = F.max(F.struct("n", "comp", "w")).alias("crowd")
+    keys = counts.groupBy("key").agg(crowd, F.sum("n").alias("n"), F.sum("w").alias("w"), F.count("*").alias("comps")).where("comps > 1")
+    n, w = F.col("n") - F.col("crowd.n"), F.col("w") - F.col("crowd.w")
+    keys = staged(keys.select("key", F.col("crowd.comp").alias("top"), _chunks(F.col("crowd.n"), F.col("crowd.w")).alias("crowds"), _chunks(n, w).alias("rests")), "open_keys")
+    rows = members.join(broadcast_if_small(keys), "key").withColumn("inside", F.col("comp") == F.col("top")).withColumn("among", F.lit(True))
+    return _tile_links(_deal(rows), wide, sets)
+
+
+def near_links(labels: DataFrame, wide: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``a, b`` twice: what near wide fingerprints link of the labels of ``labels(fp, label, n, fan, keys)`` that share a bucket.
+
+    A bucket's *top* is the largest label in it. The other labels' documents are compared
+    with all those of the top, once for all the buckets that they share; and
+    with each other, bucket by bucket. ``n`` is a label's number of documents, ``fan`` one of its parts.
+    """
+    gathered = labels.groupBy("label", "n", "fan").agg(F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys"))
+    places = staged(gathered.select("label", "n", "fan", F.explode("keys").alias("key")), "places")
+    tops = places.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    tops = staged(tops.where("lo <> hi").select("key", F.col("top.label").alias("top")), "tops")
+    rest = staged(places.join(broadcast_if_small(tops), "key").where("label <> top").select("key", "label", "fan", "top"), "rest")
+
+    met = broadcast_if_small(staged(rest.select("label", "top").distinct(), "met"))
+    own = labels.select("fp", "label", "n")
+    outside = staged(own.join(met, "label").select(F.col("top").alias("key"), "fp", F.col("label").alias("comp"), F.lit(False).alias("inside")), "outside")
+    rests = staged(outside.groupBy("key").agg(_chunks(F.count("*")).alias("rests")), "rests")
+    inside = own.join(broadcast_if_small(rests), own.label == rests.key, "left_semi").select(F.col("label").alias("key"), "fp", F.col("label").alias("comp"), F.lit(True).alias("inside"))
+    crowds = own.select(F.col("label").alias("key"), _chunks(F.col("n")).alias("crowds")).distinct()
+    known = staged(rests.join(broadcast_if_small(crowds), "key").withColumn("among", F.lit(False)), "known")
+    by_top = _tile_links(_deal(outside.unionByName(inside).join(broadcast_if_small(known), "key")), wide)
+
+    several = staged(rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key"), "several")
+    wanted = staged(rest.join(broadcast_if_small(several), "key", "left_semi").groupBy("label", "fan").agg(F.collect_list("key").alias("wanted")), "wanted")
+    listed = labels.join(broadcast_if_small(wanted), ["label", "fan"]).select("fp", F.col("label").alias("comp"), F.explode(F.array_intersect("keys", "wanted")).alias("key"))
+    listed = staged(listed, "listed")
+    counts = staged(listed.groupBy("key").agg(_chunks(F.count("*")).alias("rests")), "counts")
+    rows = listed.join(broadcast_if_small(counts), "key").select("*", F.lit(False).alias("inside"), F.lit(0).alias("crowds"), F.lit(True).alias("among"))
+    return by_top, _tile_links(_deal(rows), wide)
+
+
+def clusters(own: DataFrame, wide: DataFrame) -> DataFrame:
+    """``fp, cluster``: what near wide fingerprints link, in the buckets ``own(fp, lead, keys)``, for the documents of clusters of two or more."""
+    pairs = own.where("lead is not null").select("fp", "lead")
+    first = staged(connected_components(near_leads(pairs, wide)), "led")
+    named = staged(own.join(broadcast_if_small(first), own.fp == first.node, "left").select("fp", F.coalesce("component", "fp").alias("label"), "keys"), "named")
+    counts = staged(named.groupBy("label").agg(F.count("*").alias("n")), "label_counts")
+    fan = F.pmod(F.hash("fp"), F.ceil(F.col("n") / FAN).cast("int"))
+    labels = staged(named.join(broadcast_if_small(counts), "label").select("fp", "label", "n", fan.alias("fan"), "keys"), "labels")
+    by_top, listed = near_links(labels, wide)
+    links = staged(by_top, "top_links").union(staged(listed, "listed_links"))
+    then = staged(connected_components(links).toDF("label", "cluster"), "label_components")
+    all_ = staged(labels.select("fp", "label").join(broadcast_if_small(then), "label", "left").select("fp", F.coalesce("cluster", "label").alias("cluster")), "in_clusters")
+    several = staged(all_.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1").select("cluster"), "cluster_counts")
+    return all_.join(broadcast_if_small(several), "cluster", "left_semi").select("fp", "cluster")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -277,20 +408,25 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     blank texts too, are collapsed before the search, and every pair that shares a bucket is compared
     or already joined by others. All columns stay; an empty table gives no rows.
     """
-    rows = staged(shingle_sets(docs, id_col, text_col), "shingles")
+    rows = staged(sketches(docs, id_col, text_col), "sketches")
     groups = staged(rows.groupBy("fp").agg(F.min("rid").alias("rid")), "sets")
     apart = rows.where("size > 0").join(broadcast_if_small(groups.select("rid")), "rid", "left_semi")
     members = staged(buckets(apart), "members")
-    chosen = groups.join(members.select("fp").distinct(), "fp", "left_semi").select("rid")
-    sets = staged(rows.join(broadcast_if_small(staged(chosen, "chosen")), "rid", "left_semi").select("fp", "size", "shingles"), "chosen_sets")
-    pairs = staged(members.where("fp <> lead").select("fp", "lead").distinct(), "pairs")
+    # The lead that a document meets most often.
+    lead = F.mode(F.when(F.col("fp") != F.col("lead"), F.col("lead"))).alias("lead")
+    own = staged(members.groupBy("fp").agg(lead, F.collect_list("key").alias("keys")), "own")
+    wide = staged(wide_sets(apart.join(broadcast_if_small(own.select("fp")), "fp", "left_semi")), "wide")
+    near = staged(clusters(own, wide), "clusters")
+    some = broadcast_if_small(staged(groups.join(broadcast_if_small(near.select("fp")), "fp", "left_semi").select("rid"), "chosen"))
+    sets = shingle_sets(docs, staged(rows.join(some, "rid", "left_semi").select("doc_id", "copy"), "chosen_rows"), id_col, text_col)
+    leads = broadcast_if_small(staged(near.groupBy("cluster").agg(F.min("fp").alias("lead")), "leads"))
+    pairs = staged(near.join(leads, "cluster").where("fp <> lead").select("fp", "lead"), "pairs")
     first = staged(connected_components(lead_links(pairs, sets)), "first_components")
     of = broadcast_if_small(first)
     comp = F.coalesce("component", "fp")
-    # The two documents of a bucket of two have been compared.
-    more = members.where("n > 2").join(broadcast_if_small(sets.select("fp", "size")), "fp")
-    open_ = more.join(of, more.fp == of.node, "left").select("key", "fp", "size", comp.alias("comp"))
-    then = staged(connected_components(tile_links(staged(open_, "open_members"), sets)).toDF("comp", "root"), "components")
+    sized = near.join(broadcast_if_small(wide.select("fp", "size")), "fp")
+    open_ = staged(sized.join(of, sized.fp == of.node, "left").select(F.col("cluster").alias("key"), "fp", "size", comp.alias("comp")), "open_members")
+    then = staged(connected_components(tile_links(open_, wide, sets)).toDF("comp", "root"), "components")
     named = groups.join(of, groups.fp == of.node, "left").select("fp", comp.alias("comp"))
     roots = named.join(broadcast_if_small(then), "comp", "left").select("fp", F.coalesce("root", "comp").alias("root"))
     return keep_first(docs, rows.select("doc_id", "fp", "copy"), staged(roots, "roots"), id_col, text_col)

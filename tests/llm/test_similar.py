@@ -178,3 +178,62 @@ def test_lists_reach_the_similarity(a, b, both):
         sets = [(k, similar.fingerprint(np.sort(x))) for k, x in enumerate((h[:a], h[a - both :]))]
         lost += not plain_buckets(sets)
     assert lost <= 1
+
+
+def varied(rng, share, n, length=200):
+    """``n`` copies of one text, in each of which ``share`` of the words, dealt at random, are others."""
+    words = [f"w{x}" for x in rng.integers(0, 3000, length)]
+    out = []
+    for _ in range(n):
+        other = list(words)
+        for at in rng.choice(length, int(share * length), replace=False):
+            other[at] = f"x{rng.integers(0, 10**6)}"
+        out.append(" ".join(other))
+    return out
+
+
+def test_rows_and_shingles_follow_the_documents(spark, monkeypatch):
+    """A group's documents are in very many buckets; rows past the buckets, and shingles, are not made for each."""
+    rng = np.random.default_rng(3)
+    texts = [*varied(rng, 0.01, 250), *varied(rng, 0.05, 100), *(t for _ in range(200) for t in varied(rng, 0, 1))]
+    rows, seen, whole = list(enumerate(texts)), {}, similar.staged
+
+    def staged(df, name):
+        made = whole(df, name)
+        seen[f"{len(seen)} {name}"] = (made.count(), made.columns)
+        return made
+
+    monkeypatch.setattr(similar, "staged", staged)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((False, r.doc_id) for r in similar.deduplicate(docs).collect()) == expected(rows)
+    members = next(n for name, (n, _) in seen.items() if name.endswith(" members"))
+    past = list(seen.values())[[name.endswith(" members") for name in seen].index(True) + 1 :]
+    assert members > 10 * len(rows) and max(n for n, _ in past) < members / 4
+    # The texts that have nothing in common with others have no shingles written down.
+    assert 250 <= sum(n for n, columns in seen.values() if "shingles" in columns) <= 350
+
+
+def test_repeated_rows_and_large_labels(spark, monkeypatch):
+    """Rows repeated with id and text, null ids among them, and groups in several parts, chunks and copies of a lead."""
+    monkeypatch.setattr(similar, "TILE_SETS", 3)
+    monkeypatch.setattr(similar, "FAN", 4)
+    rng = np.random.default_rng(4)
+    rows = list(enumerate(t for share in (0.01, 0.02, 0.03, 0.05) for t in varied(rng, share, 30, 100)))
+    rows += [*rows[::3], *((None, t) for _, t in rows[::20]), *((None, t) for _, t in rows[::20])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in similar.deduplicate(docs).collect()) == expected(rows)
+
+
+@pytest.mark.parametrize(("a", "b", "both"), [(4, 5, 4), (5, 6, 5), (6, 7, 6), (7, 8, 7), (8, 10, 8), (9, 9, 8), (12, 15, 12), (13, 14, 12), (80, 100, 80), (90, 90, 80)])
+def test_wide_fingerprints_reach_the_similarity(a, b, both):
+    """Pairs just similar enough are near, pairs that share half are not, save of sets of few shingles."""
+    rng = np.random.default_rng(a)
+    most = similar.SMALL_WIDE_BITS if a <= similar.SMALL else similar.WIDE_BITS
+
+    def differ(both):
+        h = rng.integers(0, 2**64, a + b - both, np.uint64)
+        x, y = (similar.fingerprint(np.sort(s))[: similar.WIDE] for s in (h[:a], h[a - both :]))
+        return int(np.bitwise_count(x ^ y).sum())
+
+    assert max(differ(both) for _ in range(400)) <= most
+    assert a < 20 or min(differ((a + b) // 3) for _ in range(100)) > most
