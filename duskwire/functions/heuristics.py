@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from functools import reduce
-from operator import or_
+from operator import add, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -54,6 +54,9 @@ CONSTANTS = [
 PLACEHOLDER_PREFIXES = ["email@", "name@", "test@", "example@", "first.last@"]
 PLACEHOLDER_DOMAINS = ["@example.com", "@test.com", "@domain.com", "@email.com"]
 ASSIGNMENT = r"(?i)(api|token|secret|password|key|auth|credential)[^\n\r]{0,20}[:=]"
+#: What the assignment must hold, and the same expression with the first letters looked at first.
+ASSIGNED = ["api", "token", "secret", "password", "key", "auth", "credential"]
+ASSIGNMENT_FAST = r"(?i)(?=[atspkc])(?:api|token|secret|password|key|auth|credential)[^\n\r]{0,20}[:=]"
 SIGNALS = ["apikey", "api_key", "token", "secret", "password", "credential", "auth", "access"]
 
 
@@ -67,13 +70,23 @@ def _quoted(terms) -> str:
 
 
 def any_in(text: Column, terms) -> Column:
-    """Whether the text holds any of the terms. Searches for plain strings are much cheaper than an alternation tried at each place."""
-    return reduce(or_, [F.contains(text, F.lit(t)) for t in terms])
+    """Whether the text holds any of the terms. Searches for plain strings are much cheaper than an alternation tried at each place.
+
+    A term that holds another one adds nothing; three or more that share a mark are looked for in texts with that mark only."""
+    terms = list(dict.fromkeys(terms))
+    left = [t for t in terms if not any(x != t and x in t for x in terms)]
+    parts = []
+    for mark in sorted({c for t in left for c in t if not c.isalnum()}, key=lambda c: (-sum(c in t for t in left), c)):
+        own = [t for t in left if mark in t]
+        if len(own) > 2:
+            left = [t for t in left if mark not in t]
+            parts.append(F.contains(text, F.lit(mark)) & reduce(or_, [F.contains(text, F.lit(t)) for t in own]))
+    return reduce(or_, [F.contains(text, F.lit(t)) for t in left] + parts)
 
 
 def count_in(text: Column, terms) -> Column:
     """How many of the terms the text holds."""
-    return F.size(F.filter(_list(terms), lambda t: F.contains(text, t)))
+    return reduce(add, [F.coalesce(F.contains(text, F.lit(t)), F.lit(False)).cast("int") for t in terms])
 
 
 def starts_any(text: Column, terms) -> Column:
@@ -89,31 +102,44 @@ def is_file_path(v: Column) -> Column:
     return any_in(v, ["\\", "/"]) & any_in(v, PATH_PARTS)
 
 
-def is_content_type(v: Column) -> Column:
-    return any_in(F.lower(v), CONTENT_TYPES)
+def is_content_type(v: Column, low: Column | None = None) -> Column:
+    """``low``, here and below, is the lower-case value if it is at hand."""
+    return any_in(F.lower(v) if low is None else low, CONTENT_TYPES)
 
 
 def has_code_pattern(v: Column) -> Column:
     return any_in(v, CODE_WORDS)
 
 
-def is_translation_key(v: Column) -> Column:
-    return any_in(F.lower(v), TRANSLATION) | (occurrences(v, "_") >= 3) | (occurrences(v, ".") >= 2)
+def is_translation_key(v: Column, low: Column | None = None) -> Column:
+    """Each of the terms has an underscore, so a value without one is spared the search."""
+    return (F.contains(v, F.lit("_")) & (any_in(F.lower(v) if low is None else low, TRANSLATION) | (occurrences(v, "_") >= 3))) | (F.contains(v, F.lit(".")) & (occurrences(v, ".") >= 2))
+
+
+def is_i18n_key(v: Column, low: Column | None = None) -> Column:
+    return ((F.octet_length(v) > 20) & F.contains(v, F.lit("_")) & (occurrences(v, "_") >= 2)) | starts_any(F.lower(v) if low is None else low, I18N)
+
 
+#: Any of the marks, blocks and operators that the next two functions count begins or lies in one of these.
+BUSY = r"(?=[-+*/=!<>&|}(:;,fr.])(?:[-+*/=!<>&|][-+=<>&|]|\}[()]|\(\{|[:=]\[|=\{|function|return |;(?:var|let|const) |\.(?:push|pop|shift|map|filter|forEach)\()"
 
-def is_i18n_key(v: Column) -> Column:
-    return ((occurrences(v, "_") >= 2) & (F.octet_length(v) > 20)) | starts_any(F.lower(v), I18N)
 
+def is_busy(c: Column) -> Column:
+    """False only of a text without any of ``MINI_MARKS``, ``MINI_BLOCKS`` and ``OPERATORS``: one pass spares it the counts."""
+    return F.rlike(c, F.lit(BUSY))
 
-def is_pattern_in_minified(v: Column, c: Column) -> Column:
+
+def is_pattern_in_minified(v: Column, c: Column, busy: Column | None = None) -> Column:
     shapes = r"[a-z]\.[a-z]\.[a-z]|[a-z]\([a-z],[a-z]\)|var [a-z]=[^;]+,[a-z]="
-    return (count_in(c, MINI_MARKS) >= 3) | F.rlike(c, F.lit(shapes)) | F.rlike(v, F.lit(r"^[A-Za-z][0-9][A-Za-z][0-9]|[a-z][A-Z][0-9][a-z][A-Z]"))
+    busy = is_busy(c) if busy is None else busy
+    return (busy & (count_in(c, MINI_MARKS) >= 3)) | (any_in(c, [".", "(", "var "]) & F.rlike(c, F.lit(shapes))) | F.rlike(v, F.lit(r"^[A-Za-z][0-9][A-Za-z][0-9]|[a-z][A-Z][0-9][a-z][A-Z]"))
 
 
-def is_in_minified(c: Column) -> Column:
+def is_in_minified(c: Column, busy: Column | None = None) -> Column:
     n = F.octet_length(c)
     operators = F.aggregate(_list(OPERATORS), F.lit(0.0), lambda a, op: a + (n - F.octet_length(F.replace(c, op, F.lit("")))) / F.octet_length(op))
-    return ((F.octet_length(c) > 100) & (occurrences(c, "\n") < 3)) | (operators > 5) | (count_in(c, MINI_BLOCKS) >= 3)
+    busy = is_busy(c) if busy is None else busy
+    return ((F.octet_length(c) > 100) & (occurrences(c, "\n") < 3)) | (busy & ((operators > 5) | (count_in(c, MINI_BLOCKS) >= 3)))
 
 
 def is_css(v: Column) -> Column:
@@ -124,41 +150,47 @@ def is_uuid(v: Column) -> Column:
     return F.rlike(v, F.lit(r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\z"))
 
 
-def _chars(v: Column) -> Column:
-    return F.filter(F.split(v, ""), lambda x: x != "")
+def distinct_characters(v: Column) -> Column:
+    return F.array_remove(F.array_distinct(F.split(v, "")), "")
+
 
+def _shares(v: Column, distinct: Column | None = None) -> Column:
+    """Share of each distinct character in the characters, in order of their first places.
 
-def _shares(v: Column) -> Column:
-    """Count of each distinct character."""
-    return F.transform(F.array_distinct(_chars(v)), lambda c: (F.char_length(v) - F.char_length(F.replace(v, c, F.lit("")))).cast("double"))
+    Bytes of a character over those that as many characters of its size have: the same
+    quotient, and bytes needn't be counted."""
+    n = F.char_length(v)
+    return F.transform(distinct_characters(v) if distinct is None else distinct, lambda c: (F.octet_length(v) - F.octet_length(F.replace(v, c, F.lit("")))) / (F.octet_length(c) * n))
 
 
 def has_repeats(v: Column) -> Column:
     """From 20 bytes on: six equal characters in a row; or from 30 on at most five different ones, one over three tenths of the bytes."""
-    few = (F.octet_length(v) >= 30) & (F.size(F.array_distinct(_chars(v))) <= 5) & F.exists(_shares(v), lambda n: n / F.octet_length(v) > 0.3)
+    counts = F.transform(distinct_characters(v), lambda c: (F.char_length(v) - F.char_length(F.replace(v, c, F.lit("")))).cast("double"))
+    few = (F.octet_length(v) >= 30) & (F.size(distinct_characters(v)) <= 5) & F.exists(counts, lambda n: n / F.octet_length(v) > 0.3)
     return (F.octet_length(v) >= 20) & (F.rlike(v, F.lit(r"(?s)(.)\1{5}")) | few)
 
 
-def is_documentation(v: Column, c: Column | None = None) -> Column:
-    own = any_in(F.lower(v), DOC_WORDS)
+def is_documentation(v: Column, c: Column | None = None, low: Column | None = None) -> Column:
+    own = any_in(F.lower(v) if low is None else low, DOC_WORDS)
     return own if c is None else own | any_in(F.lower(c), DOC_WORDS)
 
 
 CAMEL = r"^[a-z][a-zA-Z0-9]*[A-Z][a-zA-Z0-9]*\z"
-def is_function_name(v: Column) -> Column:
-    return F.rlike(v, F.lit(CAMEL)) | starts_any(F.lower(v), VERBS)
+def is_function_name(v: Column, low: Column | None = None) -> Column:
+    return F.rlike(v, F.lit(CAMEL)) | starts_any(F.lower(v) if low is None else low, VERBS)
 
 
 def is_url(v: Column) -> Column:
     return any_in(v, URLS)
 
 
-def is_js_function(v: Column) -> Column:
+def is_js_function(v: Column, low: Column | None = None) -> Column:
     """Camel case with a leading verb or a component's event; or a verb and a word of authentication run together, in any case."""
     event = f"(?:{'|'.join(COMPONENTS)}|Did|Will|On|After|Before)(?:{'|'.join(EVENTS)})"
-    camel = F.rlike(v, F.lit(CAMEL)) & (starts_any(F.lower(v), JS_VERBS) | F.rlike(v, F.lit(event)))
+    camel = F.rlike(v, F.lit(CAMEL)) & (starts_any(F.lower(v) if low is None else low, JS_VERBS) | F.rlike(v, F.lit(event)))
     words = "|".join(AUTH)
-    joined = f"(?i)(?:transition|verify|enable|display|is|has|can)[A-Z][a-zA-Z]*(?:{words})|(?:is|has|can|should|will|did)(?:{words})[A-Z]"
+    # The look-ahead names the first letters: most places are passed over by one test.
+    joined = f"(?i)(?=[tvedihcsw])(?:(?:transition|verify|enable|display|is|has|can)[A-Z][a-zA-Z]*(?:{words})|(?:is|has|can|should|will|did)(?:{words})[A-Z])"
     return camel | F.rlike(v, F.lit(joined))
 
 
@@ -166,10 +198,20 @@ def is_js_constant(v: Column) -> Column:
     return F.rlike(v, F.lit(r"^[A-Z][A-Z0-9_]*\z")) | starts_any(v, CONSTANTS)
 
 
-def entropy(v: Column) -> Column:
+def entropy(v: Column, distinct: Column | None = None) -> Column:
     """Shannon bits per character."""
-    n = F.char_length(v)
-    return F.aggregate(_shares(v), F.lit(0.0), lambda a, k: a - (k / n) * F.log2(k / n))
+    return F.aggregate(_shares(v, distinct), F.lit(0.0), lambda a, p: a - p * F.log2(p))
+
+
+def entropy_bounds(v: Column, distinct: Column) -> tuple[Column, Column]:
+    """The least and the most that ``entropy`` can be with ``distinct`` different characters: all but one of them occur
+    once, or all equally often. Where bounds decide, no character needs to be counted."""
+    m = F.greatest(F.char_length(v), F.lit(1)).cast("double")
+    d = F.greatest(distinct, F.lit(1)).cast("double")
+    q = F.floor(m / d).cast("double")
+    r = m - q * d
+    part = lambda k, times: times * (k / m) * F.log2(k / m)
+    return -(part(m - d + 1, F.lit(1.0)) + part(F.lit(1.0), d - 1)), -(part(q + 1, r) + part(q, d - r))
 
 
 def char_classes(v: Column) -> Column:
@@ -177,14 +219,14 @@ def char_classes(v: Column) -> Column:
     return sum((F.rlike(v, F.lit(c)).cast("int") for c in (r"\p{Ll}", r"\p{Lu}", r"\p{Nd}", r"[^\p{Ll}\p{Lu}\p{Nd}]")), F.lit(0))
 
 
-def is_random_secret(v: Column, bits: Column, least: Column, h: Column) -> Column:
+def is_random_secret(v: Column, bits: Column, least: Column, h: Column, low: Column | None = None) -> Column:
     """``h`` is the value's entropy, passed in so that it is worked out once."""
-    odd = is_css(v) | is_i18n_key(v) | is_function_name(v) | is_url(v) | is_documentation(v) | has_repeats(v) | is_uuid(v)
+    odd = is_css(v) | is_i18n_key(v, low) | is_function_name(v, low) | is_url(v) | is_documentation(v, low=low) | has_repeats(v) | is_uuid(v)
     return (F.octet_length(v) >= least) & ~odd & (char_classes(v) >= 2) & (h >= bits)
 
 
-def is_placeholder_email(v: Column) -> Column:
-    low = F.lower(v)
+def is_placeholder_email(v: Column, low: Column | None = None) -> Column:
+    low = F.lower(v) if low is None else low
     return starts_any(low, PLACEHOLDER_PREFIXES) | F.rlike(low, F.lit(_quoted(PLACEHOLDER_DOMAINS) + r"\z"))
 
 
@@ -197,21 +239,28 @@ def context_window(content: Column, value: Column, radius: int = 100) -> Column:
     return F.when(F.contains(content, value), F.substring(raw, start + 1, size).cast("string")).otherwise("")
 
 
+#: Bytes up to which a text is searched byte by byte.
+SHORT = 2000
+
+
 def located(content: Column, values: Column, lines: bool, radius: int = 100) -> Column:
     """``value, window, line`` of each of ``values``, as ``context_window`` and ``line_number`` give them for values
     that the text holds. The text is encoded once; each value is looked for once, by a literal split, which skips
     through the text where the plain string functions compare at every byte. Without ``lines`` the line is 0."""
 
     def each(raw):
+        short = (F.octet_length(raw) <= SHORT) & (raw == content.cast("binary"))
+
         def one(v):
             quoted = F.concat(F.lit("\\Q"), F.replace(v, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-            before = F.when(v == "", F.lit("")).otherwise(F.get(F.split(content, quoted, 2), F.lit(0)))
+            # A short text is searched sooner than such an expression is compiled.
+            before = F.when(short, F.call_function("substring_index", content, v, F.lit(1))).when(v == "", F.lit("")).otherwise(F.get(F.split(content, quoted, 2), F.lit(0)))
 
             def at_place(before):
                 at = F.octet_length(before)
                 start = F.greatest(at - radius, F.lit(0))
                 window = F.substring(raw, start + 1, at + F.octet_length(v) + radius - start).cast("string")
-                line = F.when(F.contains(v, F.lit("\n")), 0).otherwise(F.size(F.split(before, "\n", -1))) if lines else F.lit(0)
+                line = F.when(F.contains(v, F.lit("\n")), 0).when(F.contains(before, F.lit("\n")), F.size(F.split(before, "\n", -1))).otherwise(1) if lines else F.lit(0)
                 return F.struct(v.alias("value"), window.alias("window"), line.alias("line"))
 
             return F.element_at(F.transform(F.array(before), at_place), 1)
@@ -221,6 +270,15 @@ def located(content: Column, values: Column, lines: bool, radius: int = 100) ->
     return F.element_at(F.transform(F.array(F.encode(content, "UTF-8")), each), 1)
 
 
+def place(content: Column, value: Column, before: Column, lines: bool, radius: int = 100) -> tuple[Column, Column]:
+    """Window and line as ``located`` gives them, of a text of valid UTF-8, ``before`` being what precedes the value."""
+    at = F.octet_length(before)
+    start = F.greatest(at - radius, F.lit(0))
+    window = F.substring(content.cast("binary"), start + 1, at + F.octet_length(value) + radius - start).cast("string")
+    feeds = F.when(F.contains(before, F.lit("\n")), at - F.octet_length(F.replace(before, F.lit("\n"), F.lit("")))).otherwise(0)
+    return window, F.when(F.contains(value, F.lit("\n")), 0).otherwise(feeds + 1) if lines else F.lit(0)
+
+
 def line_number(content: Column, value: Column) -> Column:
     """The first line that holds the value, from 1; 0 if none does, as when the value spans lines."""
     before = F.call_function("substring_index", content, value, F.lit(1))

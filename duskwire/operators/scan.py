@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from duskwire.functions import heuristics as H
 from duskwire.functions.dialect import groups, to_java
+from duskwire.functions.heuristics import any_in
 from duskwire.functions.risk import risk_of
 from duskwire.operators.engine import evaluate
 from duskwire.sources.catalog import Pattern, java_regex
@@ -57,6 +58,12 @@ def _long_runs(p: Pattern) -> bool:
     return bool(m) and int(m[1]) >= 20
 
 
+#: Up to so many literals are looked for one by one, which Spark compiles; more by one expression for all.
+FEW = 40
+#: Up to so many patterns the values of a text are compiled code; of more it would be too much.
+COMPILED = 16
+
+
 def candidate_ids(patterns: list[Pattern], content: Column) -> Column:
     """Ids of the patterns whose needed literals the text holds, or that need none.
 
@@ -66,9 +73,13 @@ def candidate_ids(patterns: list[Pattern], content: Column) -> Column:
     low = F.lower(content)
 
     def matching(chosen: list[tuple[int, Pattern]]) -> Column:
-        needs = F.from_json(F.lit(json.dumps([{"id": i, "any": list(p.literals)} for i, p in chosen])), "array<struct<id:int,any:array<string>>>")
-        held = F.transform(F.array(low), lambda t: F.filter(needs, lambda n: F.exists(n["any"], lambda x: F.contains(t, x))))
-        return F.transform(F.element_at(held, 1), lambda n: n["id"])
+        by: dict[str, list[int]] = {}
+        for i, p in chosen:
+            for x in p.literals:
+                by.setdefault(x, []).append(i)
+        if len(by) <= FEW:
+            return F.array_compact(F.array(*[F.when(any_in(low, p.literals), F.lit(i)) for i, p in chosen]))
+        return _known(by, F.array_distinct(F.regexp_extract_all(low, F.lit(trie_regex(by)), F.lit(1))))
 
     free = [i for i, p in enumerate(patterns) if not p.literals]
     runs = [(i, p) for i, p in enumerate(patterns) if p.literals and _long_runs(p)]
@@ -80,6 +91,47 @@ def candidate_ids(patterns: list[Pattern], content: Column) -> Column:
     return F.concat(*parts)
 
 
+def _known(by: dict[str, list[int]], held: Column) -> Column:
+    """Ids of the literals ``held``, of which each stands for those that it begins with, too."""
+    ids = {x: sorted({i for y, own in by.items() if x.startswith(y) for i in own}) for x in by}
+    table = F.from_json(F.lit(json.dumps(ids)), "map<string,array<int>>")
+    return F.array_distinct(F.flatten(F.transform(held, lambda x: F.element_at(table, x))))
+
+
+def trie_regex(literals: Iterable[str]) -> str:
+    """An expression whose group 1 is, at every place of a text, the longest of ``literals`` that begins there.
+
+    It consumes nothing, so no literal hides another. Common beginnings are tried once,
+    and a class of the first letters passes over places where none can begin.
+    """
+    tree: dict = {}
+    for x in literals:
+        at = tree
+        for c in x:
+            at = at.setdefault(c, {})
+        at[""] = {}
+
+    def of(at: dict) -> str:
+        heads = sorted(k for k in at if k)
+        tails = {c: re.escape(c) + of(at[c]) for c in heads}
+        if not heads:
+            return ""
+        body = next(iter(tails.values())) if len(heads) == 1 else _halves(heads, tails)
+        return f"(?:{body})?" if "" in at else body
+
+    return f"(?=({of(tree)}))"
+
+
+def _halves(heads: list[str], tails: dict[str, str]) -> str:
+    """Alternatives by their first letters, which are halved until few are left."""
+    if len(heads) <= 3:
+        return "(?:" + "|".join(tails[c] for c in heads) + ")"
+    cut = len(heads) // 2
+    a, b = heads[:cut], heads[cut:]
+    first = lambda x: "[" + "".join(re.escape(c) for c in x) + "]"
+    return f"(?:(?={first(a)}){_halves(a, tails)}|(?={first(b)}){_halves(b, tails)})"
+
+
 def candidates(docs: DataFrame, patterns: list[Pattern], dialect: str = "local", prefilter: bool = True) -> DataFrame:
     """Every match of every pattern as a candidate row, with context and the pattern's columns.
 
@@ -90,25 +142,36 @@ def candidates(docs: DataFrame, patterns: list[Pattern], dialect: str = "local",
         raise ValueError(f"dialect must be one of {DIALECTS}")
     if not patterns:
         raise ValueError("no patterns to scan with")
-    rows = docs.select("source_url", "content").where(F.col("content").isNotNull())
-    if dialect == "remote":
-        rows = rows.where(~F.rlike(F.lower(F.coalesce("source_url", F.lit(""))), F.lit(SKIPPED_SUFFIXES)))
+    rows = docs.select("source_url", "content")
     ids = candidate_ids(patterns, F.col("content")) if prefilter else F.array(*[F.lit(i) for i in range(len(patterns))])
-    catalog = docs.sparkSession.createDataFrame(prepared(patterns), CATALOG)
-    near = rows.withColumn("id", F.explode(ids))
+    # Conditions on the text are part of the generator. A filter would go below a shuffle that deals the rows out, and make the texts there as well.
+    wanted = F.col("content").isNotNull()
+    if dialect == "remote":
+        wanted = wanted & ~F.rlike(F.lower(F.coalesce("source_url", F.lit(""))), F.lit(SKIPPED_SUFFIXES))
     if len(patterns) == 1:
-        near = near.where(F.rlike("content", F.lit(java_regex(patterns[0]))))
-    # All that needs the text is worked out before the matches become rows, so no row carries it further.
-    found = near.select("source_url", "id", F.explode(H.located(F.col("content"), F.expr(_values(patterns, dialect)), dialect != "remote")).alias("at"), *(["content"] if dialect == "matches" else []))
-    found = found.select("source_url", "id", "at.value", "at.window", "at.line", F.col("content" if dialect == "matches" else "at.window").alias("context"))
+        wanted = wanted & F.rlike("content", F.lit(java_regex(patterns[0])))
+    near = rows.withColumn("id", F.explode(F.when(wanted, ids)))
+    # All that needs a long text is worked out before the matches become rows, so no row carries it further.
+    lines, kept = dialect != "remote", ["content"] if dialect == "matches" else []
+    if len(patterns) <= COMPILED:
+        near = near.withColumns({"vals": F.expr(_values(patterns, dialect)), "short": (F.octet_length("content") <= H.SHORT) & F.is_valid_utf8("content")})
+        bare = F.transform("vals", lambda v: F.struct(v.alias("value"), F.lit(None).cast("string").alias("window"), F.lit(None).cast("int").alias("line")))
+        at = F.when(F.col("short"), bare).otherwise(H.located(F.col("content"), F.col("vals"), lines))
+        found = near.select("source_url", "id", F.when(F.col("short"), F.col("content")).alias("text"), F.explode(at).alias("at"), *kept)
+        found = found.select("source_url", "id", "text", "at.*", *kept).withColumn("before", F.call_function("substring_index", "text", "value", F.lit(1)))
+        window, line = H.place(F.col("text"), F.col("value"), F.col("before"), lines)
+        found = found.withColumns({"window": F.when(F.col("text").isNull(), F.col("window")).otherwise(window), "line": F.when(F.col("text").isNull(), F.col("line")).otherwise(line)})
+    else:
+        found = near.select("source_url", "id", F.explode(H.located(F.col("content"), F.expr(_values(patterns, dialect)), lines)).alias("at"), *kept).select("source_url", "id", "at.*", *kept)
+    found = found.select("source_url", "id", "value", "window", "line", F.col("content" if dialect == "matches" else "window").alias("context"))
     n = F.octet_length("value")
     outside = H.has_code_pattern(F.col("value")) | H.is_file_path(F.col("value")) | H.is_content_type(F.col("value"))
     if dialect == "remote":
         found = found.where(n.between(5, 200) & ~outside)
     if dialect == "matches":
-        found = found.where(n.between(4, 500) & ~outside & ~H.any_in(F.col("value"), UNWANTED))
+        found = found.where(n.between(4, 500) & ~outside & ~any_in(F.col("value"), UNWANTED))
     catalog = docs.sparkSession.createDataFrame(prepared(patterns), CATALOG).drop("p_regex")
-    return found.join(F.broadcast(catalog), "id").drop("id")
+    return found.join(F.broadcast(catalog), "id").withColumnRenamed("id", "p_id")
 
 
 def _literal(text: str) -> str:
@@ -136,7 +199,9 @@ def _values(patterns: list[Pattern], dialect: str) -> str:
 
 def score_candidates(docs: DataFrame, patterns: list[Pattern], dialect: str = "local", prefilter: bool = True) -> DataFrame:
     """Candidates with ``guard, confidence, valid, accepted`` and the score's terms; rejected ones included."""
-    rows = evaluate(candidates(docs, patterns, dialect, prefilter), local=dialect != "remote")
+    names = [x.split()[0] for x in CATALOG.split(", ")]
+    known = [dict(zip(names, row, strict=True)) for row in prepared(patterns)]
+    rows = evaluate(candidates(docs, patterns, dialect, prefilter), dialect != "remote", known)
     accepted = F.col("valid") & (F.col("confidence") >= 0.5) if dialect == "local" else F.col("valid")
     return rows.withColumn("accepted", accepted).withColumn("context", F.col("window")).drop("window")
 

@@ -47,8 +47,20 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows if rows.rdd.getNumPartitions() >= n else rows.repartition(n)
 
 
+#: Bytes of compact columns that make a task of texts, each many times longer and each scanned.
+TEXT_TASK = 500_000
+
+
+def finely(rows: DataFrame) -> DataFrame:
+    """Rows of a few compact columns, dealt to tasks whose number grows with them: what a scan makes of them takes long.
+
+    Spark's estimate of their bytes is of the files' sizes and reads nothing."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(min(20_000, max(rows.sparkSession.sparkContext.defaultParallelism, size // TEXT_TASK)))
+
+
 def order_texts(spark: SparkSession, sf_dir: str, text: str, source: str = "concat('orders/', o_orderkey)") -> DataFrame:
-    return spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")).select(F.expr(source).alias("source_url"), F.expr(text).alias("content"))
+    return finely(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")).select(F.expr(source).alias("source_url"), F.expr(text).alias("content"))
 
 
 def _sql(text: str) -> str:
