@@ -54,3 +54,9 @@ def test_counts_of_marks_are_spared_only_where_there_are_none(spark):
     each = [t for t in [*H.MINI_MARKS, *H.MINI_BLOCKS, *H.OPERATORS]]
     rows = spark.createDataFrame([(f"a {t}b",) for t in each] + [("plain words: a = b",)], "c string").select("c", H.is_busy(F.col("c")).alias("busy")).collect()
     assert [r.c for r in rows if not r.busy] == ["plain words: a = b"]
+
+
+def test_no_row_tries_hundreds_of_branches():
+    sql = S._values([*queries.ENABLED, queries.IPIFY], "local")
+    assert max(len(re.findall(r"WHEN \d+ THEN", part)) for part in sql.split("CASE id ")) <= 4
+    assert sorted(map(int, re.findall(r"WHEN (\d+) THEN", sql))) == list(range(len(queries.ENABLED) + 1))
