@@ -51,11 +51,12 @@ def spread(rows: DataFrame) -> DataFrame:
 TEXT_TASK = 500_000
 
 
-def finely(rows: DataFrame) -> DataFrame:
+def finely(rows: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """Rows of a few compact columns, dealt to tasks whose number grows with them: what a scan makes of them takes long.
 
-    Spark's estimate of their bytes is of the files' sizes and reads nothing."""
-    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    Spark's estimate of their bytes is of the files' sizes and reads nothing; a stream has it ``of`` its table."""
+    sized = rows if of is None else of.select(rows.columns)
+    size = int(str(sized._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return rows.repartition(min(20_000, max(rows.sparkSession.sparkContext.defaultParallelism, size // TEXT_TASK)))
 
 

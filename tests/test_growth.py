@@ -60,3 +60,10 @@ def test_no_row_tries_hundreds_of_branches():
     sql = S._values([*queries.ENABLED, queries.IPIFY], "local")
     assert max(len(re.findall(r"WHEN \d+ THEN", part)) for part in sql.split("CASE id ")) <= 4
     assert sorted(map(int, re.findall(r"WHEN (\d+) THEN", sql))) == list(range(len(queries.ENABLED) + 1))
+
+
+def test_a_stream_deals_its_rows_out_before_texts_are_made(spark, sf_dir):
+    from duskwire.plans import more_queries
+
+    text = more_queries._shared_stream(spark, sf_dir)._jdf.queryExecution().analyzed().toString()
+    assert "md5" in text[: text.index("Repartition")] and "md5" not in text[text.index("Repartition") :]
